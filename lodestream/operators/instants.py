@@ -41,8 +41,8 @@ ABBREVIATIONS = {
     "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
 
-_ZONE = r"(?:\s*(z|[a-z]{2,5}|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?)?\s*(?:\(?\[?([a-z]+(?:/[a-z_+\-0-9]+){1,2}|utc|gmt)\]?\)?)?)"
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?)?"
+_ZONE = r"(?:\s*(z|[a-z]{2,5}(?![a-z/_])|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?)?\s*(?:\(?\[?([a-z]+(?:/[a-z_+\-0-9]+){1,2}|utc|gmt)\]?\)?)?)"
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?(?![a-z]))?"
 _WEEKDAY = r"(?:[a-zäöüáéç\-]+\.?,\s*)?"
 
 #: name, pattern, order of the fields y mo d h mi s fraction half offset region in the pattern's groups
@@ -54,7 +54,7 @@ FORMS = (
     (
         "day and month name",
         rf"^{_WEEKDAY}(\d{{1,2}})(?:\.|st|nd|rd|th|er|º)?(?:\s+|-)(?:(?:de|of)\s+)?([a-zäöüáéíóúàèùûôç]+)\.?,?(?:\s+|-)(?:de\s+)?(\d{{4}}|\d{{2}})"
-        rf"(?:(?:,?\s*(?:at|à|às|um|a las)\s+|,?\s+)(\d{{1,2}})\s?[:h]\s?(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?\s*([ap]\.?m\.?)?(?:\s*uhr)?)?{_ZONE}$",
+        rf"(?:(?:,?\s*(?:at|à|às|um|a las)\s+|,?\s+)(\d{{1,2}})\s?[:h]\s?(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?\s*([ap]\.?m\.?(?![a-z]))?(?:\s*uhr)?)?{_ZONE}$",
         "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10",
     ),
     (
