@@ -146,6 +146,7 @@ class PlaceIndex:
                 if name and name.strip():
                     self.trie.add(place_name(fold(name)), place_id)
         self.known_regions.discard("")
+        self.region_country = dict.fromkeys(US_STATES.values(), "us") | {r: self.country[i] for i, r in self.region.items() if r}
         self.read = lru_cache(MEMORY)(self._read)
 
     @staticmethod

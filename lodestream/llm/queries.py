@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import place_map
+from lodestream.llm import entity_match, place_map
 from lodestream.runtime import load
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.match_entities(load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "tracked_company"), load(spark, sf_dir, "hq_place"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("discovery_company_id", "tracked_company_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_map.match_places(load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "hq_place")).select("discovery_company_id", "place_id")
 
@@ -16,5 +24,5 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_map.unmatched_report(load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "hq_place"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_unmatched)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_found, p7_unmatched)}
 ORACLES: dict[str, str] = {}
