@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import entity_match, place_map
+from lodestream.llm import byte_bpe, entity_match, packing, place_map
 from lodestream.runtime import load
 
 
@@ -24,5 +24,21 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_map.unmatched_report(load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "hq_place"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_found, p7_unmatched)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(load(spark, sf_dir, "documents"))
+
+
+#: Tokens of one container.
+CAPACITY = 2048
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(byte_bpe.count_tokens(load(spark, sf_dir, "documents")), "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p9_containers(spark, sf_dir), CAPACITY)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill)}
 ORACLES: dict[str, str] = {}
