@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import byte_bpe, entity_match, packing, place_map
+from lodestream.llm import byte_bpe, entity_match, packing, place_map, reading_level
 from lodestream.runtime import load
 
 
@@ -40,5 +40,17 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, sf_dir), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill)}
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.reading_levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_label"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.demanding_documents(p10_levels(spark, sf_dir))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.level_profile(p10_levels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill, p10_found, p10_levels, p10_profile)}
 ORACLES: dict[str, str] = {}
