@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import corpus
+from lodestream.plans import catalogue, corpus, oracles, streams
 
 FLAGSHIP = "p3_found"
 
@@ -25,5 +25,5 @@ def in_utc(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: in_utc(query) for name, query in corpus.QUERIES.items()}
-ORACLES: dict[str, str] = dict(corpus.ORACLES)
+QUERIES: dict[str, Query] = {name: in_utc(query) for name, query in (corpus.QUERIES | catalogue.QUERIES | streams.QUERIES).items()}
+ORACLES: dict[str, str] = corpus.ORACLES | oracles.ORACLES | streams.ORACLES
