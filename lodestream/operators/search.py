@@ -8,21 +8,26 @@ from pyspark.sql.window import Window
 
 from lodestream.functions import vectors
 
-#: Query vectors that may be broadcast; more are refused, since every query meets every vector.
-MOST_QUERIES = 10_000
+#: Query vectors of one block; each block is one pass over the vectors with its queries broadcast.
+BLOCK = 10_000
 
 
-def top_k(vectors_df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, least: float) -> DataFrame:
+def top_k(vectors_df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, least: float, block: int = BLOCK) -> DataFrame:
     """query_id, id, score: the k most similar vectors of each query with at least the least cosine; ties by id.
 
-    ``queries`` (query_id, query_vector) is a stated set of bounded size: it is broadcast, and the window keeps k
-    rows per query and task before anything is shuffled.
+    ``queries`` (query_id, query_vector) is a stated set that is met in blocks, so that what is broadcast never
+    exceeds ``block`` vectors; the window keeps k rows per query and task before anything is shuffled.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    scored = vectors_df.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(queries), F.lit(True)).select("query_id", "id", F.round(vectors.cosine(F.col("_v"), F.col("query_vector")), 4).alias("score"))
+    n_blocks = max(1, -(-queries.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.filter(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    rows = vectors_df.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"))
+    out = None
+    for i in range(n_blocks):
+        some = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        scored = rows.join(F.broadcast(some), F.lit(True)).select("query_id", "id", F.round(vectors.cosine(F.col("_v"), F.col("query_vector")), 4).alias("score"))
+        best = scored.filter(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def best_of_queries(hits: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def close_missing(spark, sf_dir):
 
 def json_patch(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("props"))
-    patches = e.filter(F.col("event_id") % 2 == 0).select("event_id", F.create_map(F.lit("k"), F.lit("patched"), F.lit("seen"), F.lit("yes")).alias("props"))
+    patches = load(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").select("event_id", F.create_map(F.lit("k"), F.lit("patched"), F.lit("seen"), F.lit("yes")).alias("props"))
     out = merge.merge_patch(e, patches, "event_id", "props")
     return out.select("event_id", F.col("props")["k"].alias("k"), F.col("props")["seen"].alias("seen"))
 

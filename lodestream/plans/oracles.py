@@ -151,7 +151,7 @@ SELECT a.company_id, a.external_id, CASE WHEN b.external_id IS NULL AND EXISTS (
 FROM a LEFT JOIN b ON a.company_id = b.company_id AND a.external_id = b.external_id
 """,
     "json_patch": """
-SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'patched' ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS seen FROM events
+SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'patched' ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_type = 'purchase' THEN 'yes' END AS seen FROM events
 """,
     "insert_ignore": """
 SELECT dedupe_key, id FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY observed_at, id) AS k FROM signal_event WHERE observed_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00')
