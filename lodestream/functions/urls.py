@@ -34,11 +34,14 @@ def profile_url(url: Column) -> Column:
 
 def board_candidates(html: Column) -> Column:
     """Distinct 'board:slug' in order of the patterns; slugs of at least two characters, ashby's in lower case."""
+    def labelled(board: str, slugs: Column) -> Column:
+        return F.transform(F.filter(slugs, lambda s: F.length(s) >= 2), lambda s: F.concat(F.lit(board + ":"), s))
+
     found = []
     for board, pattern in config.BOARD_PATTERNS:
         slugs = F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(1))
         slugs = F.transform(slugs, lambda s: F.lower(s)) if board == "ashby" else slugs
-        found.append(F.transform(F.filter(slugs, lambda s: F.length(s) >= 2), lambda s, board=board: F.concat(F.lit(board + ":"), s)))
+        found.append(labelled(board, slugs))
     embed = F.regexp_extract_all(html, F.lit(r"(?i)https?://[^/\s\"']+/([a-zA-Z0-9_-]+)\?[^\"'\s]*gh_jid=\d+"), F.lit(1))
-    found.append(F.transform(F.filter(embed, lambda s: F.length(s) >= 2), lambda s: F.concat(F.lit("greenhouse:"), s)))
+    found.append(labelled("greenhouse", embed))
     return F.array_distinct(F.flatten(F.array(*found)))

@@ -12,9 +12,12 @@ from lodestream.sources.tables import rows_as_maps
 
 def header_value(row: Column, synonyms: tuple[str, ...]) -> Column:
     """The first filled cell whose header is a synonym; else the first whose header contains one, in order."""
+
+    def containing(synonym: str) -> Column:
+        return F.try_element_at(F.map_values(F.map_filter(row, lambda k, v: k.contains(synonym) & (v != ""))), F.lit(1))
+
     exact = [F.nullif(F.try_element_at(row, F.lit(s)), F.lit("")) for s in synonyms]
-    loose = [F.try_element_at(F.map_values(F.map_filter(row, lambda k, v, s=s: k.contains(s) & (v != ""))), F.lit(1)) for s in synonyms]
-    return F.coalesce(*exact, *loose, F.lit(""))
+    return F.coalesce(*exact, *map(containing, synonyms), F.lit(""))
 
 
 def layoff_notices(rows: DataFrame, state: str) -> DataFrame:
