@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,8 +58,9 @@ def grounded_funding(df: DataFrame, signals: str, score: str, stage: str, raised
     )
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """100 x the best normalised insert-delete similarity of the shared words and of them with either rest."""
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """100 x the best normalised insert-delete similarity of the shared words and of them with either rest; 0 if it
+    can't reach ``least``."""
     ta, tb = set(a.split()), set(b.split())
     if not ta or not tb:
         return 0.0
@@ -67,7 +69,12 @@ def token_set_ratio(a: str, b: str) -> float:
         return 100.0
     x, y = (common + " " + ra).strip(), (common + " " + rb).strip()
     pairs = [(x, y)] + ([(common, x), (common, y)] if common else [])
-    return max(_indel(p, q) for p, q in pairs)
+    return max((_indel(p, q) for p, q in pairs if _indel_bound(p, q) >= least), default=0.0)
+
+
+def _indel_bound(a: str, b: str) -> float:
+    """An upper bound of _indel: a common subsequence has no more than the common letters."""
+    return 200.0 * sum((Counter(a) & Counter(b)).values()) / max(1, len(a) + len(b))
 
 
 def _indel(a: str, b: str) -> float:
@@ -95,7 +102,7 @@ def same_event(event_type: str, a: dict, b: dict) -> bool:
     if event_type == "funding_round" and a.get("amount") and b.get("amount"):
         return re.sub("[^0-9.]", "", a["amount"]) == re.sub("[^0-9.]", "", b["amount"])
     least = DEFAULTS.strict_similarity if event_type in ("news_mention", "exec_hire", "exec_departure") else DEFAULTS.cluster_similarity
-    return token_set_ratio(_headline(a.get("title")), _headline(b.get("title"))) >= least
+    return token_set_ratio(_headline(a.get("title")), _headline(b.get("title")), least) >= least
 
 
 class ClusterFold:
@@ -129,21 +136,36 @@ CLUSTERED = "company_id string, event_type string, dedupe_key string, title stri
 
 def cluster_reports(reports: DataFrame) -> DataFrame:
     """Events after the ordered fold. ``reports``: company_id, event_type, dedupe_key, title, observed_at, url, confidence,
-    story, person, amount. The reports of a company and type are a group of one task, cut into runs that are more than
-    the look-back apart, since no report can reach over such a gap; a group is read in order of time and key."""
-    w = Window.partitionBy("company_id", "event_type").orderBy("observed_at", "dedupe_key")
-    gap = F.col("observed_at") > F.lag("observed_at").over(w) + F.make_dt_interval(F.lit(DEFAULTS.cluster_days))
-    runs = reports.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_gap").over(w)).drop("_gap")
-
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        state = ClusterFold(key[1])
-        for r in group.sort_values(["observed_at", "dedupe_key"]).to_dict("records"):
-            clean = {k: (None if pd.isna(v) else v) for k, v in r.items()}
-            state.add({"key": clean["dedupe_key"], "at": clean["observed_at"].timestamp(), "title": clean["title"] or "", "url": clean["url"], "confidence": clean["confidence"] if clean["confidence"] is not None else 0.85, "story": clean["story"], "person": clean["person"], "amount": clean["amount"]})
-        rows = [(key[0], key[1], e["key"], e["title"], pd.Timestamp(round(e["at"] * 1e6), unit="us"), round(e["confidence"], 6), e["n_reports"]) for e in state.kept]
-        return pd.DataFrame(rows, columns=["company_id", "event_type", "dedupe_key", "title", "observed_at", "confidence", "n_reports"])
-
-    return runs.groupBy("company_id", "event_type", "_run").applyInPandas(fold, CLUSTERED)
+    story, person, amount.
+
+    Rows are partitioned by company and type and sorted by time and key; each task folds its sorted rows in one
+    stream. After a gap longer than the look-back no report can reach an earlier event, so the fold starts afresh
+    and what it holds is bounded by the events of such a run, not by the group.
+    """
+    columns = ["company_id", "event_type", "dedupe_key", "title", "observed_at", "url", "confidence", "story", "person", "amount"]
+    ordered = reports.select(*columns).repartition("company_id", "event_type").sortWithinPartitions("company_id", "event_type", "observed_at", "dedupe_key")
+
+    def rows_of(fold: ClusterFold, company: str) -> list[tuple]:
+        return [(company, fold.event_type, e["key"], e["title"], pd.Timestamp(round(e["at"] * 1e6), unit="us"), round(e["confidence"], 6), e["n_reports"]) for e in fold.kept]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names_out = ["company_id", "event_type", "dedupe_key", "title", "observed_at", "confidence", "n_reports"]
+        at_key, fold, last = None, None, 0.0
+        for batch in batches:
+            out: list[tuple] = []
+            clean = batch.astype(object).where(batch.notna(), None)
+            for company, kind, key, title, at, url, confidence, story, person, amount in clean.itertuples(index=False, name=None):
+                seconds = at.timestamp()
+                if at_key != (company, kind) or seconds > last + DEFAULTS.cluster_days * 86400:
+                    out += rows_of(fold, at_key[0]) if fold else []
+                    at_key, fold = (company, kind), ClusterFold(kind)
+                last = seconds
+                fold.add({"key": key, "at": seconds, "title": title or "", "url": url, "confidence": 0.85 if confidence is None else confidence, "story": story, "person": person, "amount": amount})
+            yield pd.DataFrame(out, columns=names_out)
+        if fold:
+            yield pd.DataFrame(rows_of(fold, at_key[0]), columns=names_out)
+
+    return ordered.mapInPandas(run, CLUSTERED)
 
 
 def stories(events: DataFrame, group: list[str], story: str, order: list[str], confidence: str, gain: float = 0.05, cap: float = 0.95) -> DataFrame:
