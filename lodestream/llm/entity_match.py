@@ -2,10 +2,10 @@
 
 Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. The
 first table is the collection and the second asks it: an inverted index over all attributes is scored by BM25.
-Tokens of a kind that is common by nature (line of business, region, country) are non-essential in the sense of
-MaxScore: their bounds together are below the least score of an acceptable pair, so that they cannot bring a pair
-into any result alone; candidates come from the essential tokens only and get the other tokens' scores after that.
-The result is that of scoring every pair. Where the bound fails (a tiny collection), the tokens become essential.
+Lines of business and regions that are common are non-essential in the sense of MaxScore: their bounds together
+are below the least score of an acceptable pair, so that they cannot bring a pair into any result alone; candidates
+come from the essential tokens only and get the other tokens' scores after that. The result is that of scoring
+every pair.
 
 A pair stands if its attributes don't contradict, if each is the nearest of the other (another listing of the same
 firm counts as the same neighbour), and its confidence is a logistic function of its score and its gap to the best
@@ -182,32 +182,36 @@ def _kind(token: Column) -> Column:
     return F.substring(token, 1, 1)
 
 
-def bm25_pairs(collection: DataFrame, queries: DataFrame) -> DataFrame:
-    """doc_id, query_id, score, top: BM25 of every pair that an acceptable pair could be; top is the query's own best possible score."""
+def bm25_pairs(collection: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(doc_id, query_id, score from the essential tokens) of every pair that an acceptable pair could be; the
+    non-essential tokens with their idf; the mean number of tokens.
+
+    A line of business or region is non-essential if its idf is under half that of a name or host found in three
+    records: a record has one of each at most, so both together can't reach the least score of an acceptable pair.
+    There are at most 2 N / sqrt(3.5 N) such tokens, and each essential one has at most about sqrt(3.5 N) postings.
+    """
     docs = collection.select(F.col("id").alias("doc_id"), F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     stats = collection.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
     n, avg = max(1, stats["n"]), max(1.0, stats["avg"] or 1.0)
     df = docs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
-    weights = staged(df.select("token", "df", idf.alias("idf")), "match-idf")
-    bounds = {r["kind"]: r["m"] for r in weights.groupBy(_kind(F.col("token")).alias("kind")).agg(F.max("idf").alias("m")).collect()}
-    # One rare name or host is the least evidence of an acceptable pair.
-    least = math.log1p((n - 3 + 0.5) / 3.5)
-    common = [k for k in ("l", "r") if k in bounds]
-    if sum(bounds[k] * (K1 + 1) for k in common) / (1 + K1 * (1 - B)) >= least * (K1 + 1) / (1 + K1 * (1 - B)):
-        common = []
-    asked = queries.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token"))
-    essential = ~_kind(F.col("token")).isin(common) if common else F.lit(True)
-    posted = docs.filter(essential).join(weights, "token").select("token", "doc_id", weight.alias("w"))
-    pairs = posted.join(asked.filter(essential), "token").groupBy("doc_id", "query_id").agg(F.sum("w").alias("score"))
-    return pairs.withColumn("common", F.lit(bool(common)))
-
-
-def judged_pairs(pairs: DataFrame, collection: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds the non-essential scores, the evidence of each attribute, and whether anything contradicts the pair."""
-    n = max(1, collection.count())
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ATTRIBUTES])
+    least = math.log1p((n - min(n, 3) + 0.5) / 3.5)
+    weights = staged(df.select("token", idf.alias("idf")), "match-idf")
+    common = staged(weights.filter(_kind(F.col("token")).isin("l", "r") & (F.col("idf") < least / 2)), "match-common")
+    few = F.broadcast(common.select("token"))
+    asked = queries.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).join(few, "token", "left_anti")
+    posted = docs.join(few, "token", "left_anti").join(weights, "token").select("token", "doc_id", _weight(F.col("idf"), F.col("dl"), avg).alias("w"))
+    return posted.join(asked, "token").groupBy("doc_id", "query_id").agg(F.sum("w").alias("score")), common, avg
+
+
+def _weight(idf: Column, length: Column, mean_length: float) -> Column:
+    """A token's BM25 score in a record; no token is in a record twice."""
+    return idf * (K1 + 1) / (1 + K1 * (1 - B + B * length / F.lit(mean_length)))
+
+
+def judged_pairs(pairs: DataFrame, common: DataFrame, mean_length: float, collection: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds the non-essential tokens' scores, the evidence of each attribute, and whether anything contradicts the pair."""
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.size("tokens").alias(f"{p}_dl"), *[F.col(c).alias(f"{p}_{c}") for c in ATTRIBUTES])
     full = pairs.join(side(collection, "doc"), "doc_id").join(side(queries, "query"), "query_id")
     same = lambda c: (F.col(f"doc_{c}") != "") & (F.col(f"doc_{c}") == F.col(f"query_{c}"))
     differ = lambda c: (F.col(f"doc_{c}") != "") & (F.col(f"query_{c}") != "") & (F.col(f"doc_{c}") != F.col(f"query_{c}"))
@@ -215,10 +219,13 @@ def judged_pairs(pairs: DataFrame, collection: DataFrame, queries: DataFrame) ->
     prefix = F.exists("doc_bases", lambda a: F.exists("query_bases", lambda b: ((F.length(b) >= 3) & a.startswith(b)) | ((F.length(a) >= 3) & b.startswith(a))))
     # The legal form's or the place's countries exclude each other; an own common host outweighs a legal form.
     abroad = (F.size("doc_lands") > 0) & (F.size("query_lands") > 0) & ~F.arrays_overlap("doc_lands", "query_lands")
-    share = F.log1p(F.lit(float(n)) / 40.0)  # a common attribute's typical idf
+    for c, kind in (("business", "l"), ("region", "r")):
+        table = F.broadcast(common.select(F.col("token").alias("_t"), F.col("idf").alias(f"_{c}")))
+        full = full.join(table, F.when(same(c), F.concat(F.lit(f"{kind}:"), F.col(f"doc_{c}"))) == F.col("_t"), "left").drop("_t")
+    extra = [F.coalesce(_weight(F.col(f"_{c}"), F.col("doc_dl"), mean_length), F.lit(0.0)) for c in ("business", "region")]
     df = full.select(
         "doc_id", "query_id", *[f"{p}_{c}" for p in ("doc", "query") for c in ("forms", "business", "host", "region")],
-        (F.col("score") + F.when(F.col("common") & same("business"), share).otherwise(0.0) + F.when(F.col("common") & same("region"), share).otherwise(0.0)).alias("score"),
+        (F.col("score") + extra[0] + extra[1]).alias("score"),
         F.coalesce(distance, F.lit(99)).alias("distance"), prefix.alias("prefix"),
         same("host").alias("same_host"), differ("host").alias("other_host"), same("region").alias("same_region"),
         same("business").alias("same_business"), (F.col("doc_business") == F.col("query_business")).alias("equal_business"), (differ("business") | differ("region") | (abroad & ~same("host"))).alias("contradicted"),
@@ -274,7 +281,7 @@ def match_entities(collection: DataFrame, queries: DataFrame, places: DataFrame)
     asks = records(queries, "id", ["name"], "domain", [None, None, "state", None], listed)
     docs, asks = staged(docs, "match-collection"), staged(asks, "match-queries")
     docs, asks = (staged(x, "match-records") for x in without_shared_hosts(docs, asks))
-    judged = staged(judged_pairs(bm25_pairs(docs, asks), docs, asks), "match-judged")
+    judged = staged(judged_pairs(*bm25_pairs(docs, asks), docs, asks), "match-judged")
 
     agreed = judged.filter("agrees")
     rank = F.struct("same_host", F.col("distance") == 0, "same_region", "same_business", "score")
