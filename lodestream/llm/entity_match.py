@@ -2,10 +2,9 @@
 
 Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. The
 first table is the collection and the second asks it: an inverted index over all attributes is scored by BM25.
-Lines of business and regions that are common are non-essential in the sense of MaxScore: their bounds together
-are below the least score of an acceptable pair, so that they cannot bring a pair into any result alone; candidates
-come from the essential tokens only and get the other tokens' scores after that. The result is that of scoring
-every pair.
+Lines of business and regions are non-essential in the sense of MaxScore: a pair that shares nothing else is never
+accepted, so candidates come from the essential tokens (spellings, one-deletion variants, hosts) only and get the
+other tokens' scores after that. The result is that of scoring every pair.
 
 A pair stands if its attributes don't contradict, if each is the nearest of the other (another listing of the same
 firm counts as the same neighbour), and its confidence is a logistic function of its score and its gap to the best
@@ -18,7 +17,6 @@ spelling carried by many different names is no essential token. Nothing but the
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -186,18 +184,17 @@ def bm25_pairs(collection: DataFrame, queries: DataFrame) -> tuple[DataFrame, Da
     """(doc_id, query_id, score from the essential tokens) of every pair that an acceptable pair could be; the
     non-essential tokens with their idf; the mean number of tokens.
 
-    A line of business or region is non-essential if its idf is under half that of a name or host found in three
-    records: a record has one of each at most, so both together can't reach the least score of an acceptable pair.
-    There are at most 2 N / sqrt(3.5 N) such tokens, and each essential one has at most about sqrt(3.5 N) postings.
+    Lines of business and regions are the non-essential tokens: the exact check accepts no pair without a common
+    spelling, one-deletion variant or host, so no pair that has none of these can be in the result, whatever its
+    score. Their number is that of the known lines of business and regions.
     """
     docs = collection.select(F.col("id").alias("doc_id"), F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     stats = collection.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
     n, avg = max(1, stats["n"]), max(1.0, stats["avg"] or 1.0)
     df = docs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    least = math.log1p((n - min(n, 3) + 0.5) / 3.5)
     weights = staged(df.select("token", idf.alias("idf")), "match-idf")
-    common = staged(weights.filter(_kind(F.col("token")).isin("l", "r") & (F.col("idf") < least / 2)), "match-common")
+    common = staged(weights.filter(_kind(F.col("token")).isin("l", "r")), "match-common")
     few = F.broadcast(common.select("token"))
     asked = queries.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).join(few, "token", "left_anti")
     posted = docs.join(few, "token", "left_anti").join(weights, "token").select("token", "doc_id", _weight(F.col("idf"), F.col("dl"), avg).alias("w"))
