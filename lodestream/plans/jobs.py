@@ -1,0 +1,55 @@
+"""Jobs: isolated steps with durations, records of runs, retries of passing errors."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+
+RECORD = "job_id string, job_type string, step string, status string, started_at timestamp, finished_at timestamp, seconds double, n_rows long, error string"
+
+#: Parts of messages of errors that pass by themselves.
+PASSING = ("timeout", "timed out", "connection reset", "temporarily unavailable", "too many requests", "429", "503")
+
+
+@dataclass
+class JobLog:
+    """Rows of finished steps; ``table`` gives them as a DataFrame, newest first."""
+
+    spark: SparkSession
+    rows: list[tuple] = field(default_factory=list)
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(sorted(self.rows, key=lambda r: r[4], reverse=True), RECORD)
+
+
+def retried(action: Callable[[], object], tries: int = 3, first_delay: float = 5.0, passing: Sequence[str] = PASSING, sleep: Callable[[float], None] = time.sleep):
+    """The action's result; an error that looks passing is met by another try after a delay that doubles."""
+    for attempt in range(tries):
+        try:
+            return action()
+        except Exception as e:
+            if attempt + 1 == tries or not any(p in str(e).lower() for p in passing):
+                raise
+            sleep(first_delay * 2**attempt)
+    raise AssertionError("no try was made")
+
+
+def run_steps(log: JobLog, job_id: str, job_type: str, steps: Sequence[tuple[str, Callable[[], DataFrame | None]]]) -> dict[str, str]:
+    """Runs the steps in order; one that fails is recorded and doesn't keep the others from running. A step that
+    returns a table has its rows counted. Gives the status of each step."""
+    status: dict[str, str] = {}
+    for name, step in steps:
+        began, n, error = datetime.now(timezone.utc), None, None
+        try:
+            out = step()
+            n = out.count() if isinstance(out, DataFrame) else None
+            status[name] = "completed"
+        except Exception as e:
+            status[name], error = "failed", f"{type(e).__name__}: {e}"[:500]
+        ended = datetime.now(timezone.utc)
+        log.rows.append((job_id, job_type, name, status[name], began, ended, (ended - began).total_seconds(), n, error))
+    return status
