@@ -59,12 +59,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later read needs."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    roots = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
