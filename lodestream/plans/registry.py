@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.plans import catalogue, corpus, oracles, streams
+from lodestream.runtime import ship
 
 FLAGSHIP = "p3_found"
 
@@ -15,11 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def in_utc(query: Query) -> Query:
-    """Days, months and local times of a query are those of UTC whatever the session was started with."""
+    """Days, months and local times of a query are those of UTC whatever the session was started with, and its Python
+    workers have the package."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
         return query(spark, sf_dir)
 
     return run

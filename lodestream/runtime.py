@@ -5,10 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the Python workers this package, once per application, wherever the driver has it from."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        here = Path(__file__).resolve().parent
+        if here.is_dir():  # not so if the package itself was loaded from an archive
+            archive = Path(tempfile.mkdtemp(prefix="lodestream-")) / "lodestream.zip"
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+                for file in sorted(here.rglob("*.py")):
+                    z.write(file, f"{here.name}/{file.relative_to(here)}")
+            context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def session(app: str = "lodestream", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -26,7 +44,7 @@ def session(app: str = "lodestream", cpus: int | str = "*", **conf: str) -> Spar
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
