@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestream import config
 
+#: White space of Unicode and the separators \x1c to \x1f; Spark's \s and trim have only the ASCII ones, or the blank.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip_html(html: Column, entities_first: bool = True) -> Column:
     """Plain text of a markup fragment; entities are decoded before the tags go, or after."""
@@ -24,9 +27,10 @@ def strip_html(html: Column, entities_first: bool = True) -> Column:
 
 
 def page_fingerprint(text: Column, least: int = 100) -> Column:
-    """First 16 hex digits of the SHA-1 of the squeezed lower-case text; '' for less than ``least`` characters."""
-    flat = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < least, F.lit("")).otherwise(F.substring(F.sha1(F.encode(flat, "UTF-8")), 1, 16))
+    """First 16 hex digits of the SHA-1 of the squeezed lower-case text, of any script; '' for less than ``least`` characters."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    flat = F.lower(F.regexp_replace(bare, f"[{BLANKS}]+", " "))
+    return F.when(F.length(bare) < least, F.lit("")).otherwise(F.substring(F.sha1(F.encode(flat, "UTF-8")), 1, 16))
 
 
 def role_family(title: Column) -> Column:

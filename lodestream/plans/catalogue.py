@@ -306,7 +306,7 @@ def state_codes(spark, sf_dir):
 
 
 def page_fingerprints(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", text.page_fingerprint(F.regexp_replace("text", r"[^\x20-\x7e]+", " ")).alias("fingerprint"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.page_fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def inverted_index(spark, sf_dir):
