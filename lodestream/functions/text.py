@@ -61,4 +61,5 @@ def snippet(title: Column, description: Column, link: Column, most: int = 300) -
 
 
 def words(text: Column, least: int = 1) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " "), lambda t: F.length(t) >= least)
+    """Lower-case runs of letters, marks and digits of any script; a script without blanks gives long runs."""
+    return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda t: F.length(t) >= least)

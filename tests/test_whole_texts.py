@@ -2,9 +2,10 @@
 
 import hashlib
 import re
+import unicodedata
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestream.plans import registry
 
@@ -32,3 +33,17 @@ def test_page_fingerprints(spark, sf):
     got = {r["doc_id"]: r["fingerprint"] for r in registry.QUERIES["page_fingerprints"](spark, sf).collect()}
     assert got == {i: fingerprint(t) for i, t in enumerate(TEXTS)}
     assert got[0] and got[1] and got[2] != got[3]
+
+
+def words(text):
+    return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (text or "").lower()).split()
+
+
+def test_inverted_index(spark, sf):
+    got = {r["term"]: (r["df"], r["tf"]) for r in registry.QUERIES["inverted_index"](spark, sf).collect()}
+    tf, df = Counter(), Counter()
+    for t in TEXTS:
+        tf.update(words(t))
+        df.update(set(words(t)))
+    assert got == {w: (df[w], n) for w, n in tf.items()}
+    assert got["страница"] == (1, 8) and got["crème"] == (1, 6) and got["หน้าแรก"] == (1, 1) and "cr" not in got
