@@ -2,10 +2,13 @@
 
 Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. The
 first table is the collection and the second asks it: an inverted index over all attributes is scored by BM25.
-Lines of business and regions are non-essential in the sense of MaxScore: a pair that shares nothing else is never
+Lines of business and regions are non-essential, by a fixed choice and not by MaxScore's bounds: a pair that shares nothing else is never
 accepted, so candidates come from the essential tokens (spellings, one-deletion variants, hosts) only and get the
 other tokens' scores after that. The result is that of scoring every pair.
 
+There is no top-k and no score bound. The nearest is the agreeing pair with the same host, equal name, region, line of
+business, in this order; the BM25 score decides after these only.
+
 A pair stands if its attributes don't contradict, if each is the nearest of the other (another listing of the same
 firm counts as the same neighbour), and its confidence is a logistic function of its score and its gap to the best
 different firm, calibrated on the pairs whose hosts decide.
