@@ -2,9 +2,10 @@
 
 Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. The
 first table is the collection and the second asks it: an inverted index over all attributes is scored by BM25.
-Lines of business and regions are non-essential, by a fixed choice and not by MaxScore's bounds: a pair that shares nothing else is never
-accepted, so candidates come from the essential tokens (spellings, one-deletion variants, hosts) only and get the
-other tokens' scores after that. The result is that of scoring every pair.
+Lines of business and regions are non-essential, by a fixed choice and not by MaxScore's bounds: a pair that shares
+nothing else is never accepted, so candidates come from the essential tokens (spellings, one-deletion variants of
+spellings of any length, hosts) only and get the other tokens' scores after that. The result is that of scoring every
+pair.
 
 There is no top-k and no score bound. The nearest is the agreeing pair with the same host, equal name, region, line of
 business, in this order; the BM25 score decides after these only.
@@ -118,7 +119,8 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def deletions(form: str) -> set[str]:
-    return {form[:i] + form[i + 1 :] for i in range(len(form))} if len(form) > 4 else set()
+    """Spellings of any length, as the exact check accepts near names of any length."""
+    return {form[:i] + form[i + 1 :] for i in range(len(form))}
 
 
 def make_record(record_id, names, domain, place_fields, places: PlaceIndex) -> tuple:
