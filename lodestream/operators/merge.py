@@ -66,6 +66,20 @@ def close_missing(state: DataFrame, batch: DataFrame, group: str, key: str, clos
     return joined.withColumn(closed, value.cast(state.schema[closed].dataType)).select(*state.columns)
 
 
+def closed_over_snapshots(snapshots: DataFrame, group: str, key: str, on: str, closed: str) -> DataFrame:
+    """group, key, ``closed`` of every key ever listed: the state that ``close_missing`` leaves when it is folded over all
+    snapshots by date from the first, the new keys of each being added as open ones.
+
+    A key is closed on its group's first snapshot after the last that lists it, and open if there is none. That is one
+    look-up, whatever the number of dates. Rows without a date or key are in no snapshot.
+    """
+    listed = snapshots.filter((F.trim(F.col(key)) != "") & F.col(on).isNotNull()).select(group, key, on)
+    last = listed.groupBy(group, key).agg(F.max(on).alias("_last"))
+    polled = listed.filter(F.col(group).isNotNull()).select(group, F.col(on).alias("_last")).distinct()
+    later = polled.withColumn(closed, F.lead("_last").over(Window.partitionBy(group).orderBy("_last")))
+    return last.join(later, [group, "_last"], "left").select(group, key, closed)
+
+
 def merge_patch(state: DataFrame, patches: DataFrame, key: str, column: str) -> DataFrame:
     """Shallow right-wins merge of string maps by key."""
     right = patches.select(key, F.col(column).alias("_patch"))

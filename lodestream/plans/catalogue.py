@@ -196,9 +196,7 @@ def keyed_merge(spark, sf_dir):
 
 def close_missing(spark, sf_dir):
     s = load(spark, sf_dir, "job_post_snapshot").withColumn("external_id", F.lower(F.trim("external_id"))).filter(F.col("external_id") != "")
-    on = lambda d: s.filter(F.col("snapshot_on") == F.lit(d).cast("date")).select("company_id", "external_id").distinct()
-    state = on("2025-03-24").withColumn("closed_on", F.lit(None).cast("date"))
-    return merge.close_missing(state, on("2025-03-31"), "company_id", "external_id", "closed_on", F.lit("2025-03-31").cast("date"))
+    return merge.closed_over_snapshots(s, "company_id", "external_id", "snapshot_on", "closed_on")
 
 
 def json_patch(spark, sf_dir):
