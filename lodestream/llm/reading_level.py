@@ -28,8 +28,8 @@ from lodestream.runtime import staged
 BUCKETS = 1 << 18
 #: Words in fewer documents tell nothing about others.
 LEAST_DOCUMENTS = 3
-#: Iterations end when no word's value moves by more than TOLERANCE, or after MOST_ITERATIONS.
-TOLERANCE, MOST_ITERATIONS = 0.01, 8
+#: Iterations end when no word's value moves by more than TOLERANCE; if MOST_ITERATIONS don't get there, it is an error.
+TOLERANCE, MOST_ITERATIONS = 0.01, 1000
 #: Pull of a word's first value towards the mean grade, in edge weights.
 PRIOR = 2.0
 #: Resolution of the calibration.
@@ -214,8 +214,8 @@ def propagate(graph: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         moved = float(np.abs((new - value)[weight > 0]).max(initial=0.0))
         value = new
         if moved <= TOLERANCE:
-            break
-    return weight, value
+            return weight, value
+    raise RuntimeError(f"words still move by {moved:.4g} after {MOST_ITERATIONS} iterations")
 
 
 def monotone_fit(cells: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
