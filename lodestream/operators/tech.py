@@ -11,11 +11,16 @@ from lodestream import config
 EVIDENCE = ("script", "header", "cookie", "meta", "dns", "url", "inline", "html")
 
 
-def page_features(pages: DataFrame, page_id: str, html: str, url: str, most_html: int = 600_000, most_inline: int = 50_000) -> DataFrame:
-    """page_id, source, key, value: script addresses, inline scripts, meta contents, the address, the markup."""
-    h = F.left(F.coalesce(F.col(html), F.lit("")), F.lit(most_html))
+def page_features(pages: DataFrame, page_id: str, html: str, url: str, most_html: int | None = None, most_inline: int | None = None) -> DataFrame:
+    """page_id, source, key, value: script addresses, inline scripts, meta contents, the address, the markup.
+
+    The markup and each inline script are taken whole unless ``most_html`` and ``most_inline`` say how many
+    characters of them; the reference has 600,000 and 50,000.
+    """
+    cut = lambda c, most: c if most is None else F.left(c, F.lit(most))
+    h = cut(F.coalesce(F.col(html), F.lit("")), most_html)
     scripts = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<script\b[^>]*\bsrc\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1)), lambda s: F.struct(F.lit("script").alias("source"), F.lit("").alias("key"), s.alias("value")))
-    inline = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<script(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.struct(F.lit("inline").alias("source"), F.lit("").alias("key"), F.left(s, F.lit(most_inline)).alias("value")))
+    inline = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<script(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.struct(F.lit("inline").alias("source"), F.lit("").alias("key"), cut(s, most_inline).alias("value")))
     metas = F.transform(
         F.regexp_extract_all(h, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)),
         lambda m: F.struct(F.lit("meta").alias("source"), F.lower(F.regexp_extract(m, r"(?is)\b(?:name|property|http-equiv)\s*=\s*[\"']?([^\"'>\s]+)", 1)).alias("key"), F.regexp_extract(m, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)", 1).alias("value")),

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from lodestream.operators import tech
 from lodestream.plans import registry
 
 TEXTS = [
@@ -47,3 +48,18 @@ def test_inverted_index(spark, sf):
         df.update(set(words(t)))
     assert got == {w: (df[w], n) for w, n in tf.items()}
     assert got["страница"] == (1, 8) and got["crème"] == (1, 6) and got["หน้าแรก"] == (1, 1) and "cr" not in got
+
+
+def test_page_tech_of_long_pages(spark, tmp_path):
+    long = "x " * 350_000
+    docs = [(1, long + "<h2>SELECT</h2>", "a"), (2, "<h2>" + long, "a"), (3, long, "news")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["tech"]) for r in registry.QUERIES["page_tech"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "sql"), (1, "heading"), (1, "markup"), (1, "pages"), (2, "heading"), (2, "markup"), (2, "pages"), (3, "news")}
+
+
+def test_long_inline_scripts(spark):
+    page = spark.createDataFrame([("p", "<script>" + "a;" * 40_000 + "trk()</script>", None)], "id string, html string, url string")
+    rules = spark.createDataFrame([("Tracker", "inline", "", r"trk\(")], "tech string, source string, key string, regex string")
+    found = lambda **most: tech.detect(tech.page_features(page, "id", "html", "url", **most), rules).count()
+    assert found() == 1 and found(most_inline=50_000) == 0 and found(most_html=600_000) == 1 and found(most_html=60_000) == 0
