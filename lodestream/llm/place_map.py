@@ -13,28 +13,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.config import STATE_CODES as US_STATES
+
 #: The reference list is kept in memory by every task; a longer one is refused.
 MAX_ENTRIES = 1_000_000
 #: Distinct pieces that a task remembers; others are searched again.
 MEMORY = 200_000
 
-# US states and their codes.
-US_STATES = {
-    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "district of columbia": "dc",
-    "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me",
-    "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv",
-    "new hampshire": "nh", "new jersey": "nj", "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok", "oregon": "or",
-    "pennsylvania": "pa", "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va",
-    "washington": "wa", "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy",
-}
-
 # Names and codes of countries, by two-letter code.
 COUNTRIES = {
     "us": ("us", "u s", "usa", "u s a", "united states", "united states of america", "america", "estados unidos", "etats unis", "vereinigte staaten"),
@@ -104,30 +98,61 @@ class NameTrie:
         node.setdefault("", set()).add(entry)
 
     def search(self, word: str, k: int) -> list[tuple[int, int]]:
-        """(entry, distance) of all entries with a name within k edits, each with its least distance."""
+        """(entry, distance) of all entries with a name within k edits, each with its least distance.
+
+        The automaton's states are bit masks: bit j of mask d is set if j letters of the word can be read with d edits
+        by the path so far. ``swapped`` has the positions from which the later of two swapped letters was just read.
+        """
         n = len(word)
+        if k == 0:
+            node = self.root
+            for ch in word:
+                node = node.get(ch)
+                if node is None:
+                    return []
+            return sorted((e, 0) for e in node.get("", ()))
+        reads: dict[str, int] = {}
+        for j, ch in enumerate(word):
+            reads[ch] = reads.get(ch, 0) | 2 << j
+        full, goal = (2 << n) - 1, 1 << n
         best: dict[int, int] = {}
-        # A state is the last two rows of the edit matrix; a row whose least value exceeds k is the dead state.
-        stack = [(self.root, "", tuple(range(n + 1)), None)]
+        start = tuple((2 << d) - 1 & full for d in range(k + 1))
+        stack = [(self.root, start, (0,) * (k + 1))]
         while stack:
-            node, last, row, before = stack.pop()
-            if row[n] <= k:
-                for entry in node.get("", ()):
-                    best[entry] = min(best.get(entry, k + 1), row[n])
+            node, state, swapped = stack.pop()
             for ch, child in node.items():
                 if not ch:
+                    for d in range(k + 1):
+                        if state[d] & goal:
+                            for entry in child:
+                                best[entry] = min(best.get(entry, d), d)
+                            break
                     continue
-                step = [row[0] + 1]
-                for j in range(1, n + 1):
-                    v = min(row[j] + 1, step[j - 1] + 1, row[j - 1] + (word[j - 1] != ch))
-                    if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == ch:
-                        v = min(v, before[j - 2] + 1)
-                    step.append(v)
-                if min(step) <= k or (min(row) <= k and n > 1):
-                    if min(step) <= k + 1:
-                        stack.append((child, ch, tuple(step), row))
+                m = reads.get(ch, 0)
+                masks, swaps, last, alive = [], [], 0, 0
+                for d in range(k + 1):
+                    now = state[d] << 1 & m
+                    swap = 0
+                    if d:
+                        low = state[d - 1]
+                        # the letter is read in excess, in place of another, or before it a letter is left out
+                        now |= (low | low << 1 | last << 1 | (swapped[d] & m >> 1) << 2) & full
+                        swap = low & m >> 2
+                    masks.append(now)
+                    swaps.append(swap)
+                    last = now
+                    alive |= now | swap
+                if alive:
+                    stack.append((child, tuple(masks), tuple(swaps)))
         return sorted(best.items())
 
+    def nearest(self, word: str, k: int) -> list[tuple[int, int]]:
+        """Of the entries within k edits those at the least distance; a close one spares the wider search."""
+        for d in range(k + 1):
+            if found := self.search(word, d):
+                return found
+        return []
+
 
 class PlaceIndex:
     """The reference list with its trie, regions and countries."""
@@ -154,7 +179,7 @@ class PlaceIndex:
         return US_STATES.get(folded, folded)
 
     def _read(self, piece: str) -> tuple[tuple, str, str]:
-        """(entries with distance, region or '', country or '') that a piece can stand for."""
+        """(nearest entries with distance, region or '', country or '') that a piece can stand for."""
         folded = re.sub(r"^(?:hq|head office|headquarters)\s+", "", fold(piece))
         folded = re.sub(r"^greater\s+(.*?)(?:\s+area)?$", r"\1", folded)
         folded = re.sub(r"\s+(?:metro|metro area|metropolitan area|area|region)$", "", folded)
@@ -166,7 +191,7 @@ class PlaceIndex:
         region = region if region in self.known_regions else ""
         name = place_name(named)
         # A region's or country's name is a town only if it is exactly a town's name.
-        found = self.trie.search(name, 0 if region or country else allowed_distance(len(name)))
+        found = self.trie.nearest(name, 0 if region or country else allowed_distance(len(name)))
         return tuple(found), region, country
 
     def resolve(self, headquarters, city, region, country) -> tuple[int, str] | None:
@@ -201,6 +226,27 @@ class PlaceIndex:
         return (next(iter(near)), "listed") if len(near) == 1 else (0, "ambiguous")
 
 
+_BUILT: dict[str, PlaceIndex] = {}
+
+
+class SharedIndex:
+    """The reference list as a broadcast variable; a worker builds its index once, not once a task."""
+
+    def __init__(self, places: DataFrame) -> None:
+        """``places``: place_id, city, region, country, aliases; an error if it has more than MAX_ENTRIES rows."""
+        listed = places.select("place_id", "city", "region", "country", "aliases").filter(F.col("place_id").isNotNull()).limit(MAX_ENTRIES + 1).collect()
+        if len(listed) > MAX_ENTRIES:
+            raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
+        self.name = uuid.uuid4().hex
+        self.rows: Broadcast = places.sparkSession.sparkContext.broadcast([tuple(r) for r in listed])
+
+    def get(self) -> PlaceIndex:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.name] = PlaceIndex(self.rows.value)
+        return _BUILT[self.name]
+
+
 def match_places(companies: DataFrame, places: DataFrame) -> DataFrame:
     """discovery_company_id, place_id, verdict of each company with at least one head-office field not blank.
 
@@ -210,19 +256,16 @@ def match_places(companies: DataFrame, places: DataFrame) -> DataFrame:
     count once; rows of one id that disagree give the listed place of the greatest place_id. Empty tables are allowed: an
     empty reference list makes every company unlisted. Other columns are ignored.
     """
-    listed = places.select("place_id", "city", "region", "country", "aliases").filter(F.col("place_id").isNotNull()).limit(MAX_ENTRIES + 1).collect()
-    if len(listed) > MAX_ENTRIES:
-        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    entries = [tuple(r) for r in listed]
+    shared = SharedIndex(places)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = PlaceIndex(entries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.get()
         for batch in batches:
-            clean = batch.astype(object).where(batch.notna(), None)
-            out = [(i, *v) for i, *f in clean.itertuples(index=False) if (v := index.resolve(*f)) is not None]
-            yield pd.DataFrame(out, columns=["discovery_company_id", "place_id", "verdict"])
+            ids, *fields = (c.to_pylist() for c in batch.columns)
+            out = [(i, *v) for i, *f in zip(ids, *fields) if (v := index.resolve(*f)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=["discovery_company_id", "place_id", "verdict"])
 
-    found = companies.select("id", "headquarters", "hq_city", "hq_region", "hq_country").mapInPandas(run, "discovery_company_id string, place_id long, verdict string")
+    found = companies.select("id", "headquarters", "hq_city", "hq_region", "hq_country").mapInArrow(run, "discovery_company_id string, place_id long, verdict string")
     return found.groupBy("discovery_company_id").agg(F.max(F.struct("place_id", "verdict")).alias("m")).select("discovery_company_id", "m.place_id", "m.verdict")
 
 
