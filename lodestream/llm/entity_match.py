@@ -1,22 +1,26 @@
 """Matching entities across two tables that share no key.
 
-Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. The
-first table is the collection and the second asks it: an inverted index over all attributes is scored by BM25.
-Lines of business and regions are non-essential, by a fixed choice and not by MaxScore's bounds: a pair that shares
-nothing else is never accepted, so candidates come from the essential tokens (spellings, one-deletion variants of
-spellings of any length, hosts) only and get the other tokens' scores after that. The result is that of scoring every
-pair.
-
-There is no top-k and no score bound. The nearest is the agreeing pair with the same host, equal name, region, line of
-business, in this order; the BM25 score decides after these only.
-
-A pair stands if its attributes don't contradict, if each is the nearest of the other (another listing of the same
-firm counts as the same neighbour), and its confidence is a logistic function of its score and its gap to the best
-different firm, calibrated on the pairs whose hosts decide.
-
-Scale: postings are joined on rare tokens only: names, their one-deletion variants and unshared hosts. A host or
-spelling carried by many different names is no essential token. Nothing but the histogram of the calibration
-(at most 2 BINS x BINS x 16 rows) and the reference list of places is collected.
+Both tables are parsed to the same attributes: spellings of the bare name, line of business, web host, region. Each
+record asks the other table: an inverted index over all attributes (spellings with their one-deletion variants and
+first letters, host, line of business, region) is scored by BM25, of each attribute the best common token counting
+once. A record retrieves what reaches LEAST_SHARE of the score that it would have against itself, down to the TOP_K-th
+best score. Tokens are pruned by MaxScore: a token is non-essential for a record if all tokens up to it, in order of
+their greatest possible scores, can't reach that share together; only postings of the others are joined, and the pairs
+found are then completed by the non-essential ones. The result is that of scoring every pair.
+
+A pair is mutually nearest if each retrieves the other and is its nearest, or another listing of the nearest: a record
+that reaches NEAR of its score and states no other line of business or region. Retrieved records that state another
+line of business or region than the one that asks are other firms and not its nearest.
+The confidence comes from the score: a logistic function of the name's share of the attainable score, of the agreement
+of the other attributes and of the gap to the best rival (a retrieved record that states another line of business or
+region than the pair's), calibrated on the pairs with two own hosts, whose equality is the noisy label; the two error
+rates of that label are estimated and taken out, and are the weight of a common or different host (two hosts that
+spell the same name are neither). Pairs below
+LEAST_CONFIDENCE are dropped, and an exact check drops those whose lines of business, regions or countries exclude
+each other.
+
+Scale: tokens are 64-bit hashes; only tokens of both tables go on. Postings of a token in more than POSTINGS records
+are split into blocks. Nothing but the calibration's cells (at most 2 x (BINS + 1) ^ 2 x 5) is collected.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.llm.place_map import PlaceIndex, fold
+from lodestream.llm.place_map import PlaceIndex, SharedIndex, fold
 from lodestream.runtime import staged
 
 # Legal forms and articles, which say nothing about identity.
@@ -43,43 +47,75 @@ LEGAL_COUNTRIES = {
     "corp": ("us", "ca"), "corporation": ("us", "ca"), "bv": ("nl",), "nv": ("nl", "be"), "oy": ("fi",), "srl": ("it",), "spa": ("it",),
 }
 
-# Lines of business, and short forms of them.
+# Lines of business.
 BUSINESSES = frozenset(
     "analytics biotech brands capital cloud consulting data energy finance foods health healthcare labs logistics materials media mobility networks partners pharma "
-    "retail robotics security services software solutions studios systems technologies therapeutics ventures".split()
+    "manufacturing retail robotics security services software solutions studios systems technologies therapeutics ventures".split()
 )
-SHORT_BUSINESSES = {
-    "tx": "therapeutics", "anlytcs": "analytics", "logstcs": "logistics", "tech": "technologies", "technology": "technologies", "netwks": "networks", "network": "networks",
-    "sftwr": "software", "sys": "systems", "system": "systems", "mfg": "manufacturing", "svcs": "services", "sec": "security",
-}
-
 # What is put before and after a name in a host.
 HOST_SERVICES = ("www", "careers", "jobs", "app", "blog", "about", "en", "go", "hire", "team")
 HOST_PREFIXES = ("get", "try", "use", "join", "my", "go")
 HOST_SUFFIXES = ("hq", "app", "inc", "corp", "labs")
 
-K1, B = 1.2, 0.75
-#: A host under which more different names than this are found is a shared host.
-SHARED_HOST_NAMES = 8
-#: Calibration histogram.
-BINS = 20
-
-RECORD = "id string, bases array<string>, forms array<string>, business string, host string, region string, lands array<string>, tokens array<string>"
-ATTRIBUTES = ("bases", "forms", "business", "host", "region", "lands")
+# Abbreviations of lines of business that aren't made of the word's own letters in order.
+BUSINESS_ABBREVIATIONS = {"tx": "therapeutics"}
+
+K1, B = 1.2, 0.4
+#: Boosts of a spelling, a variant of it, its first letters, a host, a line of business, a region.
+BOOST = {"name": 1.0, "variant": 0.6, "start": 0.3, "host": 1.0, "business": 0.4, "region": 0.4}
+#: Letters of a name's start, by which it is abbreviated.
+START = 4
+#: A record retrieves only what has this share of the score it has against itself, down to this many different scores.
+LEAST_SHARE, TOP_K = 0.28, 20
+#: Share of the nearest's score that another listing of the same firm has.
+NEAR = 0.4
+LEAST_CONFIDENCE = 0.5
+#: A host is shared if most of its records have names it doesn't spell, with so many different first two letters.
+FOREIGN_STARTS = 5
+#: Records of one block of a token's postings.
+POSTINGS = 4096
+#: Calibration: cells of a feature, weights of (name, agreement, gap, 1) where there is nothing to learn from, and how
+#: many pairs these weigh as much as.
+BINS, PRIOR, PRIOR_PAIRS = 10, (5.0, 2.0, 1.0, -3.5), 5.0
+#: Share of a pair's records under one host if they are one firm, and if they aren't, before anything is counted.
+SAME_HOST, CHANCE_HOST, HOST_PAIRS = 0.8, 0.1, 20.0
+
+RECORD = "id string, bases array<string>, stems array<string>, business string, host string, region string, lands array<string>, own boolean"
+
+
+def business_of(word: str) -> str:
+    """The line of business that a word or its abbreviation states: its letters in order, from the first; or ''."""
+    if word in BUSINESSES:
+        return word
+    if word in BUSINESS_ABBREVIATIONS:
+        return BUSINESS_ABBREVIATIONS[word]
+    if len(word) < 3:
+        return ""
+    starts = [x for x in BUSINESSES if x.startswith(word) or word == x.removesuffix("ies") + "y" or word + "s" == x]
+    if not starts:
+        starts = [x for x in BUSINESSES if x[0] == word[0] and _in_order(word, x)]
+    return starts[0] if len(starts) == 1 else ""
+
+
+def _in_order(short: str, word: str) -> bool:
+    letters = iter(word)
+    return all(ch in letters for ch in short)
 
 
 def read_name(name: str | None) -> tuple[str, str, tuple[str, ...]]:
     """(bare name without blanks, line of business or '', countries of the legal form)."""
     text = re.sub(r"\([^)]*\)", " ", name or "")
     text = re.sub(r"\b([a-z])\.(?=[a-z]\b)", r"\1", text, flags=re.I)
-    words = [SHORT_BUSINESSES.get(w, w) for w in fold(text).split()]
+    words = fold(text).split()
     lands: tuple[str, ...] = ()
     while len(words) > 1 and words[-1] in LEGAL_FORMS:
         # "Pty Ltd" and "Pvt Ltd" are the narrower form's.
         lands = LEGAL_COUNTRIES.get(words.pop(), lands)
     if len(words) > 1 and words[0] == "the":
         words.pop(0)
-    business = words.pop() if len(words) > 1 and words[-1] in BUSINESSES else ""
+    business = business_of(words[-1]) if len(words) > 1 else ""
+    if business:
+        words.pop()
     return "".join(w for w in words if w != "and") or "".join(words), business, lands
 
 
@@ -129,8 +165,8 @@ def make_record(record_id, names, domain, place_fields, places: PlaceIndex) -> t
     business = next((x for _, x, _ in read if x), "")
     lands = next((x for _, _, x in read if x), ())
     host = read_host(domain)
-    # A stem of the own host that is within an edit of the name is another spelling of it.
-    forms = sorted(set(bases) | {s for s in host_stems(host) if any(one_edit(s, b) for b in bases)})
+    stems = host_stems(host)
+    own = any(one_edit(s, b) or (len(b) >= 3 and s.startswith(b)) or b.startswith(s) for s in stems for b in bases)
     region = ""
     verdict = places.resolve(*place_fields)
     if verdict and verdict[0]:
@@ -143,127 +179,148 @@ def make_record(record_id, names, domain, place_fields, places: PlaceIndex) -> t
                 region = region or reg
         if region in places.region_country:
             lands = (places.region_country[region],)
-    tokens = {f"n:{f}" for f in forms} | {f"v:{v}" for f in forms for v in deletions(f) | {f}}
-    tokens |= {f"n:{s}" for s in host_stems(host)}
-    tokens |= {f"d:{host}"} if host else set()
-    tokens |= {f"l:{business}"} if business else set()
-    tokens |= {f"r:{region}"} if region else set()
-    return (record_id, bases, forms, business, host, region, list(lands), sorted(tokens))
+    return (record_id, bases, stems, business, host, region, list(lands), own)
 
 
-def records(df: DataFrame, id_col: str, names: list[str], domain: str, place_cols: list[str | None], places: list[tuple]) -> DataFrame:
+def records(df: DataFrame, id_col: str, names: list[str], domain: str, place_cols: list[str | None], places: SharedIndex) -> DataFrame:
     """One parsed row per id. ``place_cols`` name the columns of head office, city, region, country (or None)."""
     columns = [F.col(id_col).alias("id"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(names)], F.col(domain).alias("dom"), *[(F.col(c) if c else F.lit(None).cast("string")).alias(f"p{i}") for i, c in enumerate(place_cols)]]
     k = len(names)
+    lists = pa.list_(pa.string())
+    kinds = (pa.string(), lists, lists, pa.string(), pa.string(), pa.string(), lists, pa.bool_())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = PlaceIndex(places)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = places.get()
         for batch in batches:
-            clean = batch.astype(object).where(batch.notna(), None)
-            out = [make_record(r[0], r[1 : 1 + k], r[1 + k], r[2 + k :], index) for r in clean.itertuples(index=False, name=None)]
-            yield pd.DataFrame(out, columns=["id", *ATTRIBUTES, "tokens"])
-
-    return df.select(*columns).filter(F.col("id").isNotNull()).dropDuplicates(["id"]).mapInPandas(run, RECORD)
-
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            out = [make_record(r[0], r[1 : 1 + k], r[1 + k], r[2 + k :], index) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["id", "bases", "stems", "business", "host", "region", "lands", "own"])
+
+    return df.select(*columns).filter(F.col("id").isNotNull()).dropDuplicates(["id"]).mapInArrow(run, RECORD)
+
+
+def shared_hosts(*tables: DataFrame) -> DataFrame:
+    """The hosts whose pages say nothing about identity: most of their records have names that the host doesn't
+    spell, and these names are many unrelated ones (they begin in FOREIGN_STARTS different ways or more)."""
+    rows = None
+    for df in tables:
+        some = df.filter((F.col("host") != "") & (F.size("bases") > 0)).select("host", "own", F.left(F.element_at("bases", 1), F.lit(2)).alias("start"))
+        rows = some if rows is None else rows.unionByName(some)
+    per_start = rows.groupBy("host", "start").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
+    foreign = F.count_if(F.col("n") > F.col("n_own"))
+    return per_start.groupBy("host").agg(foreign.alias("k"), F.sum("n").alias("n"), F.sum("n_own").alias("n_own")).filter((F.col("k") >= FOREIGN_STARTS) & (F.col("n_own") * 2 < F.col("n"))).select("host", F.lit(True).alias("is_shared"))
+
+
+def with_tokens(df: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds ``tokens``, array of (hash, field, boost), and what of each field there is; shared hosts are blanked."""
+    drop = F.coalesce("is_shared", F.lit(False))
+    clean = df.join(shared, "host", "left").select("id", "bases", F.when(drop, F.array().cast("array<string>")).otherwise(F.col("stems")).alias("stems"), "business", F.when(drop, F.lit("")).otherwise(F.col("host")).alias("host"), "region", "lands")
+    clean = clean.withColumn("spellings", F.array_union("bases", "stems"))
+
+    def token(kind: str, text: Column, field: str, boost: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(kind), text).alias("h"), F.lit(field).alias("field"), F.lit(BOOST[boost]).alias("boost"))
+
+    variants = F.array_distinct(F.flatten(F.transform("spellings", lambda f: F.transform(F.sequence(F.lit(0), F.length(f)), lambda i: F.when(i == 0, f).otherwise(F.concat(F.left(f, i - 1), F.substring(f, i + 1, F.length(f))))))))
+    one = lambda kind, c: F.when(F.col(c) != "", F.array(token(kind, F.col(c), c, c))).otherwise(F.array().cast("array<struct<h:bigint,field:string,boost:double>>"))
+    starts = F.array_distinct(F.transform(F.filter("bases", lambda f: F.length(f) >= START), lambda f: F.left(f, F.lit(START))))
+    tokens = F.concat(
+        F.transform("spellings", lambda f: token("n", f, "name", "name")), F.transform(variants, lambda v: token("v", v, "name", "variant")),
+        F.transform(starts, lambda f: token("p", f, "name", "start")), one("d", "host"), one("l", "business"), one("r", "region"),
+    )
+    there = [(F.col(c) != "").cast("int").alias(f"has_{c}") for c in ("host", "business", "region")]
+    return clean.select("id", "business", "host", "stems", "region", "lands", F.size("spellings").alias("n_spellings"), *there, tokens.alias("tokens")).withColumn("dl", F.col("n_spellings") + F.col("has_host") + F.col("has_business") + F.col("has_region"))
 
-def without_shared_hosts(collection: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blanks the hosts under which many different names are found; pages there say nothing about identity."""
-    names = lambda df: df.select("host", F.try_element_at("bases", F.lit(1)).alias("base"))
-    both = names(collection).unionByName(names(queries))
-    shared = both.filter((F.col("host") != "") & F.col("base").isNotNull()).groupBy("host").agg(F.approx_count_distinct("base").alias("n")).filter(F.col("n") > SHARED_HOST_NAMES).select("host", F.lit(True).alias("is_shared"))
 
-    def clean(df: DataFrame) -> DataFrame:
-        joined = df.join(shared, "host", "left")
-        drop = F.coalesce("is_shared", F.lit(False))
-        tokens = F.when(drop, F.filter("tokens", lambda t: ~t.startswith("d:"))).otherwise(F.col("tokens"))
-        return joined.select("id", "bases", "forms", "business", F.when(drop, F.lit("")).otherwise(F.col("host")).alias("host"), "region", "lands", tokens.alias("tokens"))
+def _norm(length: Column, mean_length: Column) -> Column:
+    """BM25's factor of a token that is once in a record of this length."""
+    return (K1 + 1) / (1 + K1 * (1 - B + B * length / mean_length))
 
-    return clean(collection), clean(queries)
 
+def common_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """h, left_df, right_df of the tokens that both tables have, counted in the map stage first."""
+    side = lambda df, a, b: df.select(F.explode("tokens.h").alias("h"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy("h").agg(F.sum("a").alias("left_df"), F.sum("b").alias("right_df"))
+    return counts.filter((F.col("left_df") > 0) & (F.col("right_df") > 0))
 
-def _kind(token: Column) -> Column:
-    return F.substring(token, 1, 1)
 
+FIELDS = ("name", "host", "business", "region")
 
-def bm25_pairs(collection: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(doc_id, query_id, score from the essential tokens) of every pair that an acceptable pair could be; the
-    non-essential tokens with their idf; the mean number of tokens.
 
-    Lines of business and regions are the non-essential tokens: the exact check accepts no pair without a common
-    spelling, one-deletion variant or host, so no pair that has none of these can be in the result, whatever its
-    score. Their number is that of the known lines of business and regions.
-    """
-    docs = collection.select(F.col("id").alias("doc_id"), F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    stats = collection.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
-    n, avg = max(1, stats["n"]), max(1.0, stats["avg"] or 1.0)
-    df = docs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def asked_tokens(queries: DataFrame, weights: DataFrame, n: int, mean_length: float) -> DataFrame:
+    """Adds to each token of each query its boosted idf, the query's score against itself, and whether MaxScore needs it."""
+    most = float(np.log1p((n + 0.5) / 0.5))  # idf of a token that no record has
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = staged(df.select("token", idf.alias("idf")), "match-idf")
-    common = staged(weights.filter(_kind(F.col("token")).isin("l", "r")), "match-common")
-    few = F.broadcast(common.select("token"))
-    asked = queries.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).join(few, "token", "left_anti")
-    posted = docs.join(few, "token", "left_anti").join(weights, "token").select("token", "doc_id", _weight(F.col("idf"), F.col("dl"), avg).alias("w"))
-    return posted.join(asked, "token").groupBy("doc_id", "query_id").agg(F.sum("w").alias("score")), common, avg
-
-
-def _weight(idf: Column, length: Column, mean_length: float) -> Column:
-    """A token's BM25 score in a record; no token is in a record twice."""
-    return idf * (K1 + 1) / (1 + K1 * (1 - B + B * length / F.lit(mean_length)))
-
-
-def judged_pairs(pairs: DataFrame, common: DataFrame, mean_length: float, collection: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds the non-essential tokens' scores, the evidence of each attribute, and whether anything contradicts the pair."""
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.size("tokens").alias(f"{p}_dl"), *[F.col(c).alias(f"{p}_{c}") for c in ATTRIBUTES])
-    full = pairs.join(side(collection, "doc"), "doc_id").join(side(queries, "query"), "query_id")
-    same = lambda c: (F.col(f"doc_{c}") != "") & (F.col(f"doc_{c}") == F.col(f"query_{c}"))
-    differ = lambda c: (F.col(f"doc_{c}") != "") & (F.col(f"query_{c}") != "") & (F.col(f"doc_{c}") != F.col(f"query_{c}"))
-    distance = F.array_min(F.flatten(F.transform("doc_forms", lambda a: F.transform(F.col("query_forms"), lambda b: _edits(a, b)))))
-    prefix = F.exists("doc_bases", lambda a: F.exists("query_bases", lambda b: ((F.length(b) >= 3) & a.startswith(b)) | ((F.length(a) >= 3) & b.startswith(a))))
-    # The legal form's or the place's countries exclude each other; an own common host outweighs a legal form.
-    abroad = (F.size("doc_lands") > 0) & (F.size("query_lands") > 0) & ~F.arrays_overlap("doc_lands", "query_lands")
-    for c, kind in (("business", "l"), ("region", "r")):
-        table = F.broadcast(common.select(F.col("token").alias("_t"), F.col("idf").alias(f"_{c}")))
-        full = full.join(table, F.when(same(c), F.concat(F.lit(f"{kind}:"), F.col(f"doc_{c}"))) == F.col("_t"), "left").drop("_t")
-    extra = [F.coalesce(_weight(F.col(f"_{c}"), F.col("doc_dl"), mean_length), F.lit(0.0)) for c in ("business", "region")]
-    df = full.select(
-        "doc_id", "query_id", *[f"{p}_{c}" for p in ("doc", "query") for c in ("forms", "business", "host", "region")],
-        (F.col("score") + extra[0] + extra[1]).alias("score"),
-        F.coalesce(distance, F.lit(99)).alias("distance"), prefix.alias("prefix"),
-        same("host").alias("same_host"), differ("host").alias("other_host"), same("region").alias("same_region"),
-        same("business").alias("same_business"), (F.col("doc_business") == F.col("query_business")).alias("equal_business"), (differ("business") | differ("region") | (abroad & ~same("host"))).alias("contradicted"),
-    )
-    exact = F.col("distance") == 0
-    near = F.col("distance") == 1
-    named = (
-        F.when(exact, True)
-        .when(near, F.col("same_host") | (F.col("same_region") & (F.col("equal_business") | ~F.col("other_host"))) | (F.col("equal_business") & ~F.col("other_host")))
-        .when(F.col("distance") == 2, F.col("same_host"))
-        .otherwise(F.col("same_host") & F.col("prefix"))
-    )
-    return df.withColumn("agrees", named & ~F.col("contradicted"))
-
-
-def _edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance with one adjacent transposition counted as one edit."""
-    d = F.levenshtein(a, b)
-    swapped = (F.length(a) == F.length(b)) & (d == 2) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-        lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a))) == b,
-    )
-    return F.when(swapped, 1).otherwise(d)
-
-
-def fit_logistic(cells: list[tuple[tuple[float, ...], int, int]]) -> list[float]:
-    """Weights of (features, 1) in p = 1 / (1 + exp(-w f)) by Newton steps on cells (features, label, count)."""
+    rows = queries.select("id", "dl", "n_spellings", *[f"has_{f}" for f in FIELDS[1:]], F.explode("tokens").alias("t")).select("*", "t.h", "t.field", "t.boost").drop("t").join(weights, "h").withColumn("w", F.col("boost") * idf)
+    every = Window.partitionBy("id")
+    best = {f: F.max(F.when(F.col("field") == f, F.col("w"))).over(every) for f in FIELDS}
+    exact = F.count_if((F.col("field") == "name") & (F.col("boost") == BOOST["name"])).over(every)
+    parts = [F.when(exact < F.col("n_spellings"), F.lit(most * BOOST["name"])).otherwise(F.coalesce(best["name"], F.lit(0.0))), *[F.when(F.col(f"has_{f}") == 1, F.coalesce(best[f], F.lit(most * BOOST[f]))).otherwise(0.0) for f in FIELDS[1:]]]
+    own = _norm(F.col("dl"), F.lit(mean_length))
+    top = _norm(F.lit(1), F.lit(mean_length))
+    upto = Window.partitionBy("id").orderBy("w", "h").rowsBetween(Window.unboundedPreceding, 0)
+    bound = sum((F.coalesce(F.max(F.when(F.col("field") == f, F.col("w"))).over(upto), F.lit(0.0)) for f in FIELDS), F.lit(0.0)) * top
+    out = rows.withColumn("self", own * sum(parts, F.lit(0.0))).withColumn("self_name", parts[0]).withColumn("bound", bound)
+    return out.select(F.col("id").alias("query_id"), "h", "field", "w", "df", "self", "self_name", (F.col("bound") >= LEAST_SHARE * F.col("self")).alias("essential"))
+
+
+def retrieve(collection: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """query_id, doc_id, score, self, name_share, host_score and the record's attributes: all records
+    with at least LEAST_SHARE of the query's score against itself, down to its TOP_K-th best score.
+
+    ``weights``: h, df of the tokens of both tables in the collection.
+    """
+    stats = collection.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean_length = max(1, stats["n"]), max(1.0, stats["mean"] or 1.0)
+    asked = staged(asked_tokens(queries, weights, n, mean_length), "match-asked")
+    blocks = F.ceil(F.col("df") / POSTINGS).cast("int")
+    posted = collection.select(F.col("id").alias("doc_id"), F.explode("tokens.h").alias("h")).join(weights, "h").select("doc_id", "h", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    needed = asked.filter("essential").select("query_id", "h", "field", "w", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    best = lambda f: F.max(F.when(F.col("field") == f, F.col("w"))).alias(f"e_{f}")
+    found = needed.join(posted, ["h", "block"]).groupBy("query_id", "doc_id").agg(*[best(f) for f in FIELDS])
+    rest = asked.groupBy("query_id").agg(F.first("self").alias("self"), F.first("self_name").alias("self_name"), F.collect_list(F.when(~F.col("essential"), F.struct("h", "field", "w"))).alias("rest"))
+    records_ = collection.select(F.col("id").alias("doc_id"), "business", "host", "stems", "region", "lands", "dl", F.col("tokens.h").alias("hashes"))
+    full = found.join(rest, "query_id").join(records_, "doc_id")
+    full = full.withColumn("both", F.filter("rest", lambda x: F.array_contains("hashes", x["h"])))
+
+    def completed(f: str) -> Column:
+        return F.greatest(F.coalesce(f"e_{f}", F.lit(0.0)), F.coalesce(F.array_max(F.transform(F.filter("both", lambda x: x["field"] == f), lambda x: x["w"])), F.lit(0.0)))
+
+    part = {f: completed(f) for f in FIELDS}
+    norm = _norm(F.col("dl"), F.lit(mean_length))
+    scored = full.select(
+        "query_id", "doc_id", "business", "host", "stems", "region", "lands", "self", (norm * sum(part.values(), F.lit(0.0))).alias("score"),
+        F.least(F.lit(1.0), F.coalesce(F.try_divide(part["name"], F.col("self_name")), F.lit(0.0))).alias("name_share"), (norm * part["host"]).alias("host_score"),
+    ).filter(F.col("score") >= LEAST_SHARE * F.col("self"))
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scored.withColumn("_place", place).filter(F.col("_place") <= TOP_K).drop("_place")
+
+
+def _clash(a: Column, b: Column) -> Column:
+    """Whether two structs state different lines of business or regions."""
+    differ = lambda f: (a[f] != "") & (b[f] != "") & (a[f] != b[f])
+    return differ("business") | differ("region")
+
+
+def neighbours(hits: DataFrame) -> DataFrame:
+    """query_id, firms: array of (score, business, region), the best score of each combination that a query retrieved,
+    best first; no more of them than there are lines of business and regions."""
+    kinds = hits.groupBy("query_id", "business", "region").agg(F.max("score").alias("score"))
+    return kinds.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "business", "region")))).alias("firms"))
+
+
+def fit_logistic(cells: list[tuple[tuple[float, ...], int, int]], prior: tuple[float, ...] = PRIOR, strength: float = PRIOR_PAIRS) -> list[float]:
+    """Weights of (features, 1) in p = 1 / (1 + exp(-w f)) by Newton steps on cells (features, label, count), drawn
+    to ``prior``; without cells they are the prior."""
+    w0 = np.array(prior, float)
+    w = w0.copy()
     if not cells:
-        return []
+        return w.tolist()
     x = np.array([[*f, 1.0] for f, _, _ in cells])
     y, n = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
-    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (n * (y - p)) - 0.1 * w)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (n * (y - p)) - strength * (w - w0))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -275,45 +332,64 @@ def match_entities(collection: DataFrame, queries: DataFrame, places: DataFrame)
 
     ``collection``: id, name, apollo_org_name, domain, headquarters, hq_city, hq_region, hq_country. ``queries``:
     id, name, domain, state. ``places``: the reference list of places. A null or blank attribute says nothing; a
-    record without a name can match by nothing and is in no pair. Repeated ids count once; a firm under two ids is
-    in two pairs. Empty tables give no row. Other columns are ignored.
+    record that has none is in no pair. Repeated ids count once; a firm under two ids is in two pairs. Empty tables
+    give no row. Other columns are ignored.
     """
-    listed = [tuple(r) for r in places.select("place_id", "city", "region", "country", "aliases").collect()]
-    docs = records(collection, "id", ["name", "apollo_org_name"], "domain", ["headquarters", "hq_city", "hq_region", "hq_country"], listed)
-    asks = records(queries, "id", ["name"], "domain", [None, None, "state", None], listed)
-    docs, asks = staged(docs, "match-collection"), staged(asks, "match-queries")
-    docs, asks = (staged(x, "match-records") for x in without_shared_hosts(docs, asks))
-    judged = staged(judged_pairs(*bm25_pairs(docs, asks), docs, asks), "match-judged")
-
-    agreed = judged.filter("agrees")
-    rank = F.struct("same_host", F.col("distance") == 0, "same_region", "same_business", "score")
-    for_doc, for_query = Window.partitionBy("doc_id"), Window.partitionBy("query_id")
-
-    def best(window, side: str) -> Column:
-        return F.max(F.struct(rank.alias("rank"), F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ("business", "host", "region")]).alias("who"))).over(window)
-
-    near = agreed.withColumn("q_best", best(for_query, "doc")).withColumn("d_best", best(for_doc, "query"))
-
-    def same_firm(nearest: str, side: str) -> Column:
-        """The pair's other end is the nearest one, or another listing of it."""
-        who = lambda c: F.col(f"{nearest}.who.{c}")
-        clash = lambda c: (who(c) != "") & (F.col(f"{side}_{c}") != "") & (who(c) != F.col(f"{side}_{c}"))
-        return (F.col(f"{nearest}.rank") == rank) | ~(clash("business") | clash("region"))
-
-    mutual = near.withColumn("mutual", same_firm("q_best", "doc") & same_firm("d_best", "query"))
-    # Gap: how far the pair is above the best pair of its query that is another firm's.
-    others = judged.filter("contradicted").groupBy("query_id").agg(F.max("score").alias("rival"))
-    top = Window.partitionBy("query_id")
-    scored = judged.select("doc_id", "query_id", "score", "same_host", "other_host", "contradicted", "agrees", "distance", "same_region", "equal_business", (F.col("score") / F.max("score").over(top)).alias("x")).join(others, "query_id", "left")
-    y = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("score") - F.coalesce("rival", F.lit(0.0))) / F.greatest("score", F.lit(1e-9))))
-    scored = scored.withColumn("y", y)
-    label = F.when(F.col("agrees") & F.col("same_host"), 1).when(F.col("contradicted") | ((F.col("distance") > 2) & ~F.col("agrees")), 0)
-    binned = lambda c: F.round(F.col(c) * BINS) / BINS
-    features = [binned("x"), binned("y"), (F.col("distance") == 0).cast("double"), F.col("same_region").cast("double"), F.col("equal_business").cast("double")]
-    cells = scored.filter(label.isNotNull()).groupBy(F.array(*features).alias("f"), label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    weights = fit_logistic([(tuple(r["f"]), r["label"], r["n"]) for r in cells.collect()])
-    logit = F.lit(weights[-1] if weights else 0.0)
-    for w, f in zip(weights[:-1], features):
-        logit = logit + w * f
-    confidence = scored.filter("agrees").select("doc_id", "query_id", F.round(1 / (1 + F.exp(-logit)), 4).alias("confidence"))
-    return mutual.filter("mutual").join(confidence, ["doc_id", "query_id"]).select(F.col("doc_id").alias("discovery_company_id"), F.col("query_id").alias("tracked_company_id"), "confidence")
+    index = SharedIndex(places)
+    docs = staged(records(collection, "id", ["name", "apollo_org_name"], "domain", ["headquarters", "hq_city", "hq_region", "hq_country"], index), "match-collection")
+    asks = staged(records(queries, "id", ["name"], "domain", [None, None, "state", None], index), "match-queries")
+    shared = staged(shared_hosts(docs, asks), "match-shared-hosts")
+    docs, asks = with_tokens(docs, shared), with_tokens(asks, shared)
+    tokens = staged(common_tokens(docs, asks), "match-tokens")
+    forth = staged(retrieve(docs, asks, tokens.select("h", F.col("left_df").alias("df"))), "match-forth")
+    back = staged(retrieve(asks, docs, tokens.select("h", F.col("right_df").alias("df"))), "match-back")
+
+    side = lambda df, p: df.select(*[F.col(c).alias(n) for c, n in (("query_id", "query_id"), ("doc_id", "doc_id"))], F.struct("business", "region", "host", "stems", "lands").alias(p), F.col("score").alias(f"{p}_score"), F.col("name_share").alias(f"{p}_share"), "host_score")
+    swapped = back.withColumnsRenamed({"query_id": "_q", "doc_id": "query_id"}).withColumnRenamed("_q", "doc_id")
+    pairs = side(forth, "doc").join(side(swapped, "query").drop("host_score"), ["query_id", "doc_id"])
+    pairs = pairs.join(neighbours(forth).withColumnRenamed("firms", "docs"), "query_id").join(neighbours(back).withColumnsRenamed({"query_id": "doc_id", "firms": "queries"}), "doc_id")
+
+    def nearest(score: Column, own: Column, firms: Column, asker: Column) -> Column:
+        """Whether a retrieved record is the asker's nearest one, or another listing of it."""
+        first = F.try_element_at(F.filter(firms, lambda x: ~_clash(asker, x)), F.lit(1))
+        return F.coalesce((score >= NEAR * first["score"]) & ~_clash(own, first), F.lit(False))
+
+    def gap(score: Column, own: Column, firms: Column) -> Column:
+        rival = F.array_max(F.transform(F.filter(firms, lambda x: _clash(own, x)), lambda x: x["score"]))
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(score - F.coalesce(rival, F.lit(0.0)), score), F.lit(0.0))))
+
+    d, q = F.col("doc"), F.col("query")
+    same = lambda f: ((d[f] != "") & (d[f] == q[f])).cast("int")
+    other = lambda f: ((d[f] != "") & (q[f] != "") & (d[f] != q[f])).cast("int")
+    abroad = (F.size(d["lands"]) > 0) & (F.size(q["lands"]) > 0) & ~F.arrays_overlap(d["lands"], q["lands"]) & (same("host") == 0)
+    binned = lambda c, k=BINS: F.round(c * k) / k
+    features = [
+        binned((F.col("doc_share") + F.col("query_share")) / 2),
+        (same("business") + same("region") - other("business") - other("region")) / 2,
+        binned((gap(F.col("doc_score") - F.col("host_score"), d, F.col("docs")) + gap(F.col("query_score") - F.col("host_score"), q, F.col("queries"))) / 2, BINS // 2),
+    ]
+    judged = staged(
+        pairs.select(
+            "doc_id", "query_id", F.array(*features).alias("f"), (nearest(F.col("doc_score"), d, F.col("docs"), q) & nearest(F.col("query_score"), q, F.col("queries"), d)).alias("mutual"),
+            ((other("business") + other("region") > 0) | abroad).alias("excluded"), F.when(same("host") == 1, 1).when((other("host") == 1) & ~F.arrays_overlap(d["stems"], q["stems"]), 0).alias("one_host"),
+        ),
+        "match-judged",
+    )
+    labelled = judged.filter(F.col("one_host").isNotNull() & (F.col("f")[0] > 0))
+    cells = [(tuple(r["f"]), r["one_host"], r["excluded"], r["n"]) for r in labelled.groupBy("f", "one_host", "excluded").agg(F.count(F.lit(1)).alias("n")).collect()]
+    weights = fit_logistic([(f, y, n) for f, y, _, n in cells])
+
+    def host_rate(excluded: bool, guess: float) -> float:
+        hit, all_ = (sum(n for _, y, e, n in cells if e == excluded and y >= least) for least in (1, 0))
+        return (hit + guess * HOST_PAIRS) / (all_ + HOST_PAIRS)
+
+    # Share of common hosts among firms that are one and that aren't; the label's error rates.
+    a, b = host_rate(False, SAME_HOST), host_rate(True, CHANCE_HOST)
+    a = max(a, b + 0.05)
+    logit = sum((w * F.col("f")[i] for i, w in enumerate(weights[:-1])), F.lit(weights[-1]))
+    p = 1 / (1 + F.exp(-logit))
+    p = F.greatest(F.lit(0.01), F.least(F.lit(0.99), (p - b) / (a - b))) if cells else p
+    odds = p / (1 - p) * F.when(F.col("one_host") == 1, a / b).when(F.col("one_host") == 0, (1 - a) / (1 - b)).otherwise(1.0)
+    confidence = F.round(odds / (1 + odds), 4)
+    kept = judged.filter(F.col("mutual") & ~F.col("excluded")).withColumn("confidence", confidence).filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    return kept.select(F.col("doc_id").alias("discovery_company_id"), F.col("query_id").alias("tracked_company_id"), "confidence")

@@ -10,9 +10,11 @@ PLACES = [(1, "Saint Caldale", "NC", "US", None), (2, "Fultecrest", "OH", "US",
 DOC = "id string, name string, apollo_org_name string, domain string, headquarters string, hq_city string, hq_region string, hq_country string"
 
 
-def test_one_edit_has_a_common_variant():
+def test_one_edit_has_a_common_variant(spark):
     forms = ["".join(x) for n in range(1, 5) for x in itertools.product("abc", repeat=n)]
-    variants = {f: entity_match.deletions(f) | {f} for f in forms}
+    rows = spark.createDataFrame([(f, [f], [], "", "", "", [], True) for f in forms], entity_match.RECORD)
+    tokens = entity_match.with_tokens(rows, spark.createDataFrame([], "host string, is_shared boolean"))
+    variants = {r["id"]: {t["h"] for t in r["tokens"] if t["boost"] == entity_match.BOOST["variant"]} for r in tokens.collect()}
     for a, b in itertools.combinations(forms, 2):
         assert not entity_match.one_edit(a, b) or variants[a] & variants[b], (a, b)
 
