@@ -211,24 +211,32 @@ def shared_hosts(*tables: DataFrame) -> DataFrame:
     return per_start.groupBy("host").agg(foreign.alias("k"), F.sum("n").alias("n"), F.sum("n_own").alias("n_own")).filter((F.col("k") >= FOREIGN_STARTS) & (F.col("n_own") * 2 < F.col("n"))).select("host", F.lit(True).alias("is_shared"))
 
 
+TOKEN = "array<struct<h:bigint,field:string,boost:double>>"
+
+
+def _token(kind: str, text: Column, field: str, boost: str) -> Column:
+    return F.struct(F.xxhash64(F.lit(kind), text).alias("h"), F.lit(field).alias("field"), F.lit(BOOST[boost]).alias("boost"))
+
+
+def name_tokens(spellings: Column, bases: Column) -> Column:
+    """Tokens of the spellings, of their one-deletion variants and of the first letters of the names."""
+    variants = F.array_distinct(F.flatten(F.transform(spellings, lambda f: F.transform(F.sequence(F.lit(0), F.length(f)), lambda i: F.when(i == 0, f).otherwise(F.concat(F.left(f, i - 1), F.substring(f, i + 1, F.length(f))))))))
+    starts = F.array_distinct(F.transform(F.filter(bases, lambda f: F.length(f) >= START), lambda f: F.left(f, F.lit(START))))
+    return F.concat(
+        F.transform(spellings, lambda f: _token("n", f, "name", "name")), F.transform(variants, lambda v: _token("v", v, "name", "variant")),
+        F.transform(starts, lambda f: _token("p", f, "name", "start")),
+    )
+
+
 def with_tokens(df: DataFrame, shared: DataFrame) -> DataFrame:
     """Adds ``tokens``, array of (hash, field, boost), and what of each field there is; shared hosts are blanked."""
     drop = F.coalesce("is_shared", F.lit(False))
-    clean = df.join(shared, "host", "left").select("id", "bases", F.when(drop, F.array().cast("array<string>")).otherwise(F.col("stems")).alias("stems"), "business", F.when(drop, F.lit("")).otherwise(F.col("host")).alias("host"), "region", "lands")
+    clean = df.join(shared, "host", "left").select("n", "id", "bases", F.when(drop, F.array().cast("array<string>")).otherwise(F.col("stems")).alias("stems"), "business", F.when(drop, F.lit("")).otherwise(F.col("host")).alias("host"), "region", "lands")
     clean = clean.withColumn("spellings", F.array_union("bases", "stems"))
-
-    def token(kind: str, text: Column, field: str, boost: str) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), text).alias("h"), F.lit(field).alias("field"), F.lit(BOOST[boost]).alias("boost"))
-
-    variants = F.array_distinct(F.flatten(F.transform("spellings", lambda f: F.transform(F.sequence(F.lit(0), F.length(f)), lambda i: F.when(i == 0, f).otherwise(F.concat(F.left(f, i - 1), F.substring(f, i + 1, F.length(f))))))))
-    one = lambda kind, c: F.when(F.col(c) != "", F.array(token(kind, F.col(c), c, c))).otherwise(F.array().cast("array<struct<h:bigint,field:string,boost:double>>"))
-    starts = F.array_distinct(F.transform(F.filter("bases", lambda f: F.length(f) >= START), lambda f: F.left(f, F.lit(START))))
-    tokens = F.concat(
-        F.transform("spellings", lambda f: token("n", f, "name", "name")), F.transform(variants, lambda v: token("v", v, "name", "variant")),
-        F.transform(starts, lambda f: token("p", f, "name", "start")), one("d", "host"), one("l", "business"), one("r", "region"),
-    )
+    one = lambda kind, c: F.when(F.col(c) != "", F.array(_token(kind, F.col(c), c, c))).otherwise(F.array().cast(TOKEN))
     there = [(F.col(c) != "").cast("int").alias(f"has_{c}") for c in ("host", "business", "region")]
-    return clean.select("id", "business", "host", "stems", "region", "lands", F.size("spellings").alias("n_spellings"), *there, tokens.alias("tokens")).withColumn("dl", F.col("n_spellings") + F.col("has_host") + F.col("has_business") + F.col("has_region"))
+    tokens = F.concat(name_tokens(F.col("spellings"), F.col("bases")), one("d", "host"), one("l", "business"), one("r", "region"))
+    return clean.select("n", "id", "bases", "spellings", "stems", "business", "host", "region", "lands", F.size("spellings").alias("n_spellings"), *there, tokens.alias("tokens")).withColumn("dl", F.col("n_spellings") + F.col("has_host") + F.col("has_business") + F.col("has_region"))
 
 
 def _norm(length: Column, mean_length: Column) -> Column:
@@ -243,55 +251,67 @@ def common_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     return counts.filter((F.col("left_df") > 0) & (F.col("right_df") > 0))
 
 
+def postings(df: DataFrame, tokens: DataFrame) -> DataFrame:
+    """n, h, field, boost, left_df, right_df of the records' tokens that both tables have."""
+    return df.select("n", F.explode("tokens").alias("t")).select("n", "t.h", "t.field", "t.boost").join(tokens, "h")
+
+
 FIELDS = ("name", "host", "business", "region")
 
 
-def asked_tokens(queries: DataFrame, weights: DataFrame, n: int, mean_length: float) -> DataFrame:
-    """Adds to each token of each query its boosted idf, the query's score against itself, and whether MaxScore needs it."""
-    most = float(np.log1p((n + 0.5) / 0.5))  # idf of a token that no record has
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = queries.select("id", "dl", "n_spellings", *[f"has_{f}" for f in FIELDS[1:]], F.explode("tokens").alias("t")).select("*", "t.h", "t.field", "t.boost").drop("t").join(weights, "h").withColumn("w", F.col("boost") * idf)
-    every = Window.partitionBy("id")
+def asked_tokens(queries: DataFrame, own: DataFrame, df: str, n: int, mean_length: float) -> DataFrame:
+    """query, h, field, w, df, self, self_name, essential: each token of a query with its boosted idf, the query's score
+    against itself, and whether MaxScore needs the token's postings."""
+    most = float(np.log1p((n - 0.5) / 1.5))  # idf of a token of one record; one that no record has counts alike
+    idf = F.log1p((F.lit(n) - F.col(df) + 0.5) / (F.col(df) + 0.5))
+    rows = own.select("n", "h", "field", "boost", F.col(df).alias("df"), (F.col("boost") * idf).alias("w")).join(queries.select("n", "dl", "n_spellings", *[f"has_{f}" for f in FIELDS[1:]]), "n")
+    every = Window.partitionBy("n")
     best = {f: F.max(F.when(F.col("field") == f, F.col("w"))).over(every) for f in FIELDS}
     exact = F.count_if((F.col("field") == "name") & (F.col("boost") == BOOST["name"])).over(every)
     parts = [F.when(exact < F.col("n_spellings"), F.lit(most * BOOST["name"])).otherwise(F.coalesce(best["name"], F.lit(0.0))), *[F.when(F.col(f"has_{f}") == 1, F.coalesce(best[f], F.lit(most * BOOST[f]))).otherwise(0.0) for f in FIELDS[1:]]]
-    own = _norm(F.col("dl"), F.lit(mean_length))
-    top = _norm(F.lit(1), F.lit(mean_length))
-    upto = Window.partitionBy("id").orderBy("w", "h").rowsBetween(Window.unboundedPreceding, 0)
-    bound = sum((F.coalesce(F.max(F.when(F.col("field") == f, F.col("w"))).over(upto), F.lit(0.0)) for f in FIELDS), F.lit(0.0)) * top
-    out = rows.withColumn("self", own * sum(parts, F.lit(0.0))).withColumn("self_name", parts[0]).withColumn("bound", bound)
-    return out.select(F.col("id").alias("query_id"), "h", "field", "w", "df", "self", "self_name", (F.col("bound") >= LEAST_SHARE * F.col("self")).alias("essential"))
+    upto = Window.partitionBy("n").orderBy("w", "h").rowsBetween(Window.unboundedPreceding, 0)
+    bound = sum((F.coalesce(F.max(F.when(F.col("field") == f, F.col("w"))).over(upto), F.lit(0.0)) for f in FIELDS), F.lit(0.0)) * _norm(F.lit(1), F.lit(mean_length))
+    out = rows.withColumn("self", _norm(F.col("dl"), F.lit(mean_length)) * sum(parts, F.lit(0.0))).withColumn("self_name", parts[0]).withColumn("bound", bound)
+    return out.select(F.col("n").alias("query"), "h", "field", "w", "df", "self", "self_name", (F.col("bound") >= LEAST_SHARE * F.col("self")).alias("essential"))
 
 
-def retrieve(collection: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
-    """query_id, doc_id, score, self, name_share, host_score and the record's attributes: all records
-    with at least LEAST_SHARE of the query's score against itself, down to its TOP_K-th best score.
+def retrieve(collection: DataFrame, queries: DataFrame, posted: DataFrame, own: DataFrame, df: str) -> DataFrame:
+    """query, doc (numbers), score, self, name_share, host_score and the record's attributes: all records with at least
+    LEAST_SHARE of the query's score against itself, down to its TOP_K-th best score.
 
-    ``weights``: h, df of the tokens of both tables in the collection.
+    ``posted`` and ``own``: postings of the collection and of the queries; ``df``: their column with the number of
+    records of the collection.
     """
     stats = collection.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     n, mean_length = max(1, stats["n"]), max(1.0, stats["mean"] or 1.0)
-    asked = staged(asked_tokens(queries, weights, n, mean_length), "match-asked")
-    blocks = F.ceil(F.col("df") / POSTINGS).cast("int")
-    posted = collection.select(F.col("id").alias("doc_id"), F.explode("tokens.h").alias("h")).join(weights, "h").select("doc_id", "h", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    needed = asked.filter("essential").select("query_id", "h", "field", "w", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    asked = staged(asked_tokens(queries, own, df, n, mean_length), "match-asked")
+    blocks = lambda c: F.ceil(F.col(c) / POSTINGS).cast("int")
+    there = posted.select(F.col("n").alias("doc"), "h", F.pmod(F.xxhash64("n"), blocks(df)).cast("int").alias("block"))
+    needed = asked.filter("essential").select("query", "h", "field", "w", F.explode(F.sequence(F.lit(0), blocks("df") - 1)).alias("block"))
     best = lambda f: F.max(F.when(F.col("field") == f, F.col("w"))).alias(f"e_{f}")
-    found = needed.join(posted, ["h", "block"]).groupBy("query_id", "doc_id").agg(*[best(f) for f in FIELDS])
-    rest = asked.groupBy("query_id").agg(F.first("self").alias("self"), F.first("self_name").alias("self_name"), F.collect_list(F.when(~F.col("essential"), F.struct("h", "field", "w"))).alias("rest"))
-    records_ = collection.select(F.col("id").alias("doc_id"), "business", "host", "stems", "region", "lands", "dl", F.col("tokens.h").alias("hashes"))
-    full = found.join(rest, "query_id").join(records_, "doc_id")
-    full = full.withColumn("both", F.filter("rest", lambda x: F.array_contains("hashes", x["h"])))
+    found = needed.join(there, ["h", "block"]).groupBy("query", "doc").agg(*[best(f) for f in FIELDS])
+    rest = asked.groupBy("query").agg(F.first("self").alias("self"), F.first("self_name").alias("self_name"), F.collect_list(F.when(~F.col("essential"), F.struct("h", "field", "w"))).alias("rest"))
+    full = found.join(rest, "query").join(collection.select(F.col("n").alias("doc"), "business", "host", "stems", "region", "lands", "dl", "spellings", "bases"), "doc")
+    kinds = {"host": "d", "business": "l", "region": "r"}
 
     def completed(f: str) -> Column:
-        return F.greatest(F.coalesce(f"e_{f}", F.lit(0.0)), F.coalesce(F.array_max(F.transform(F.filter("both", lambda x: x["field"] == f), lambda x: x["w"])), F.lit(0.0)))
+        """The best common token of a field, non-essential ones included."""
+        left = F.filter("rest", lambda x: x["field"] == f)
+        if f == "name":  # the record's tokens are made again for the few queries that have such names
+            hashes = F.transform(name_tokens(F.col("spellings"), F.col("bases")), lambda t: t["h"])
+            left = F.when(F.size(left) > 0, F.filter(left, lambda x: F.array_contains(hashes, x["h"])))
+        else:
+            own_hash = F.xxhash64(F.lit(kinds[f]), f)
+            left = F.filter(left, lambda x: x["h"] == own_hash)
+        return F.greatest(F.coalesce(f"e_{f}", F.lit(0.0)), F.coalesce(F.array_max(F.transform(left, lambda x: x["w"])), F.lit(0.0)))
 
     part = {f: completed(f) for f in FIELDS}
     norm = _norm(F.col("dl"), F.lit(mean_length))
     scored = full.select(
-        "query_id", "doc_id", "business", "host", "stems", "region", "lands", "self", (norm * sum(part.values(), F.lit(0.0))).alias("score"),
+        "query", "doc", "business", "host", "stems", "region", "lands", "self", (norm * sum(part.values(), F.lit(0.0))).alias("score"),
         F.least(F.lit(1.0), F.coalesce(F.try_divide(part["name"], F.col("self_name")), F.lit(0.0))).alias("name_share"), (norm * part["host"]).alias("host_score"),
     ).filter(F.col("score") >= LEAST_SHARE * F.col("self"))
-    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    place = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("score")))
     return scored.withColumn("_place", place).filter(F.col("_place") <= TOP_K).drop("_place")
 
 
@@ -302,10 +322,10 @@ def _clash(a: Column, b: Column) -> Column:
 
 
 def neighbours(hits: DataFrame) -> DataFrame:
-    """query_id, firms: array of (score, business, region), the best score of each combination that a query retrieved,
+    """query, firms: array of (score, business, region), the best score of each combination that a query retrieved,
     best first; no more of them than there are lines of business and regions."""
-    kinds = hits.groupBy("query_id", "business", "region").agg(F.max("score").alias("score"))
-    return kinds.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "business", "region")))).alias("firms"))
+    kinds = hits.groupBy("query", "business", "region").agg(F.max("score").alias("score"))
+    return kinds.groupBy("query").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "business", "region")))).alias("firms"))
 
 
 def fit_logistic(cells: list[tuple[tuple[float, ...], int, int]], prior: tuple[float, ...] = PRIOR, strength: float = PRIOR_PAIRS) -> list[float]:
@@ -336,18 +356,19 @@ def match_entities(collection: DataFrame, queries: DataFrame, places: DataFrame)
     give no row. Other columns are ignored.
     """
     index = SharedIndex(places)
-    docs = staged(records(collection, "id", ["name", "apollo_org_name"], "domain", ["headquarters", "hq_city", "hq_region", "hq_country"], index), "match-collection")
-    asks = staged(records(queries, "id", ["name"], "domain", [None, None, "state", None], index), "match-queries")
+    number = F.monotonically_increasing_id()  # kept by the staged table
+    docs = staged(records(collection, "id", ["name", "apollo_org_name"], "domain", ["headquarters", "hq_city", "hq_region", "hq_country"], index).withColumn("n", number), "match-collection")
+    asks = staged(records(queries, "id", ["name"], "domain", [None, None, "state", None], index).withColumn("n", number), "match-queries")
     shared = staged(shared_hosts(docs, asks), "match-shared-hosts")
     docs, asks = with_tokens(docs, shared), with_tokens(asks, shared)
     tokens = staged(common_tokens(docs, asks), "match-tokens")
-    forth = staged(retrieve(docs, asks, tokens.select("h", F.col("left_df").alias("df"))), "match-forth")
-    back = staged(retrieve(asks, docs, tokens.select("h", F.col("right_df").alias("df"))), "match-back")
+    of_docs, of_asks = staged(postings(docs, tokens), "match-postings"), staged(postings(asks, tokens), "match-postings")
+    forth = staged(retrieve(docs, asks, of_docs, of_asks, "left_df"), "match-forth")
+    back = staged(retrieve(asks, docs, of_asks, of_docs, "right_df"), "match-back")
 
-    side = lambda df, p: df.select(*[F.col(c).alias(n) for c, n in (("query_id", "query_id"), ("doc_id", "doc_id"))], F.struct("business", "region", "host", "stems", "lands").alias(p), F.col("score").alias(f"{p}_score"), F.col("name_share").alias(f"{p}_share"), "host_score")
-    swapped = back.withColumnsRenamed({"query_id": "_q", "doc_id": "query_id"}).withColumnRenamed("_q", "doc_id")
-    pairs = side(forth, "doc").join(side(swapped, "query").drop("host_score"), ["query_id", "doc_id"])
-    pairs = pairs.join(neighbours(forth).withColumnRenamed("firms", "docs"), "query_id").join(neighbours(back).withColumnsRenamed({"query_id": "doc_id", "firms": "queries"}), "doc_id")
+    side = lambda df, p, q, d: df.select(F.col("query").alias(q), F.col("doc").alias(d), F.struct("business", "region", "host", "stems", "lands").alias(p), F.col("score").alias(f"{p}_score"), F.col("name_share").alias(f"{p}_share"), F.col("host_score").alias(f"{p}_host"))
+    pairs = side(forth, "doc", "query_n", "doc_n").join(side(back, "query", "doc_n", "query_n"), ["query_n", "doc_n"])
+    pairs = pairs.join(neighbours(forth).withColumnsRenamed({"query": "query_n", "firms": "docs"}), "query_n").join(neighbours(back).withColumnsRenamed({"query": "doc_n", "firms": "queries"}), "doc_n")
 
     def nearest(score: Column, own: Column, firms: Column, asker: Column) -> Column:
         """Whether a retrieved record is the asker's nearest one, or another listing of it."""
@@ -366,11 +387,11 @@ def match_entities(collection: DataFrame, queries: DataFrame, places: DataFrame)
     features = [
         binned((F.col("doc_share") + F.col("query_share")) / 2),
         (same("business") + same("region") - other("business") - other("region")) / 2,
-        binned((gap(F.col("doc_score") - F.col("host_score"), d, F.col("docs")) + gap(F.col("query_score") - F.col("host_score"), q, F.col("queries"))) / 2, BINS // 2),
+        binned((gap(F.col("doc_score") - F.col("doc_host"), d, F.col("docs")) + gap(F.col("query_score") - F.col("query_host"), q, F.col("queries"))) / 2, BINS // 2),
     ]
     judged = staged(
         pairs.select(
-            "doc_id", "query_id", F.array(*features).alias("f"), (nearest(F.col("doc_score"), d, F.col("docs"), q) & nearest(F.col("query_score"), q, F.col("queries"), d)).alias("mutual"),
+            "doc_n", "query_n", F.array(*features).alias("f"), (nearest(F.col("doc_score"), d, F.col("docs"), q) & nearest(F.col("query_score"), q, F.col("queries"), d)).alias("mutual"),
             ((other("business") + other("region") > 0) | abroad).alias("excluded"), F.when(same("host") == 1, 1).when((other("host") == 1) & ~F.arrays_overlap(d["stems"], q["stems"]), 0).alias("one_host"),
         ),
         "match-judged",
@@ -392,4 +413,5 @@ def match_entities(collection: DataFrame, queries: DataFrame, places: DataFrame)
     odds = p / (1 - p) * F.when(F.col("one_host") == 1, a / b).when(F.col("one_host") == 0, (1 - a) / (1 - b)).otherwise(1.0)
     confidence = F.round(odds / (1 + odds), 4)
     kept = judged.filter(F.col("mutual") & ~F.col("excluded")).withColumn("confidence", confidence).filter(F.col("confidence") >= LEAST_CONFIDENCE)
-    return kept.select(F.col("doc_id").alias("discovery_company_id"), F.col("query_id").alias("tracked_company_id"), "confidence")
+    named = lambda df, key, name: df.select(F.col("n").alias(key), F.col("id").alias(name))
+    return kept.join(named(docs, "doc_n", "discovery_company_id"), "doc_n").join(named(asks, "query_n", "tracked_company_id"), "query_n").select("discovery_company_id", "tracked_company_id", "confidence")

@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestream.llm import entity_match as em
 
@@ -37,7 +36,7 @@ def score_all(collection, queries):
     for t in docs.values():
         for x in t:
             df[x] = df.get(x, 0) + 1
-    idf = lambda x: math.log1p((n - df.get(x, 0) + 0.5) / (df.get(x, 0) + 0.5))
+    idf = lambda x: math.log1p((n - df.get(x, 1) + 0.5) / (df.get(x, 1) + 0.5))
     norm = lambda k: (em.K1 + 1) / (1 + em.K1 * (1 - em.B + em.B * k / mean))
 
     def score(q, d, k):
@@ -57,9 +56,11 @@ def test_retrieval_is_that_of_scoring_every_pair(spark, monkeypatch, seed, posti
     rnd = random.Random(seed)
     left, right = table(rnd, "d", 60), table(rnd, "q", 40)
     none = spark.createDataFrame([], "host string, is_shared boolean")
-    docs, asks = (em.with_tokens(spark.createDataFrame(x, RECORD), none) for x in (left, right))
-    weights = em.common_tokens(docs, asks).select("h", F.col("left_df").alias("df"))
-    got = {(r["query_id"], r["doc_id"]): (r["score"], r["self"]) for r in em.retrieve(docs, asks, weights).collect()}
+    docs, asks = (em.with_tokens(spark.createDataFrame([(*r, i) for i, r in enumerate(x)], RECORD + ", n long"), none) for x in (left, right))
+    tokens = em.common_tokens(docs, asks)
+    ids = [{r["n"]: r["id"] for r in x.select("n", "id").collect()} for x in (docs, asks)]
+    hits = em.retrieve(docs, asks, em.postings(docs, tokens), em.postings(asks, tokens), "left_df")
+    got = {(ids[1][r["query"]], ids[0][r["doc"]]): (r["score"], r["self"]) for r in hits.collect()}
     want = {}
     for q in {q for q, _ in score_all(left, right)}:
         hits = {k: v for k, v in score_all(left, right).items() if k[0] == q and v[0] >= em.LEAST_SHARE * v[1] - 1e-9}

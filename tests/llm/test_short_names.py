@@ -12,7 +12,7 @@ DOC = "id string, name string, apollo_org_name string, domain string, headquarte
 
 def test_one_edit_has_a_common_variant(spark):
     forms = ["".join(x) for n in range(1, 5) for x in itertools.product("abc", repeat=n)]
-    rows = spark.createDataFrame([(f, [f], [], "", "", "", [], True) for f in forms], entity_match.RECORD)
+    rows = spark.createDataFrame([(f, [f], [], "", "", "", [], True, i) for i, f in enumerate(forms)], entity_match.RECORD + ", n long")
     tokens = entity_match.with_tokens(rows, spark.createDataFrame([], "host string, is_shared boolean"))
     variants = {r["id"]: {t["h"] for t in r["tokens"] if t["boost"] == entity_match.BOOST["variant"]} for r in tokens.collect()}
     for a, b in itertools.combinations(forms, 2):
