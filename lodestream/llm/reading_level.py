@@ -38,6 +38,8 @@ BINS = 400
 LEAST_FUNCTION_WORDS = 0.12
 #: A line of prose has at least so many words.
 LEAST_LINE = 9
+#: Lines are wrapped at some width up to this one, and a wrapped line has at least so many characters.
+WRAP_WIDTH, LEAST_WRAPPED = 120, 40
 
 # English function words that are no common words of other languages in Latin script.
 FUNCTION_WORDS = frozenset(
@@ -57,17 +59,39 @@ _LETTERS = re.compile(r"[^\W\d_]")
 GRAPH = "doc_id long, n_words int, english boolean, buckets array<int>, counts array<int>"
 
 
+def unwrapped(lines: list[str]) -> list[str]:
+    """Lines of one block, each wrapped line joined to the next: one that ends no sentence and to which the next line's
+    first word couldn't be added within the block's width."""
+    width = max(map(len, lines), default=0)
+    if len(lines) < 2 or width > WRAP_WIDTH:
+        return lines
+    out, last = [lines[0]], lines[0]
+    for line in lines[1:]:
+        if len(last) >= LEAST_WRAPPED and not _END.search(last) and len(last) + 1 + len(line.split(" ", 1)[0]) > width:
+            out[-1] += " " + line
+        else:
+            out.append(line)
+        last = line
+    return out
+
+
 def prose_lines(text: str) -> list[str]:
-    """Lines of running text: no list items, headings, code, links or footers; short or unfinished lines are none."""
-    out = []
-    fenced = False
-    for raw in text.split("\n"):
-        line = raw.strip()
+    """Lines of running text, wrapped ones joined: no list items, headings, code, links or footers; short or unfinished
+    lines are none. A fence that isn't closed fences nothing."""
+    blocks: list[list[str]] = [[]]
+    lines = [raw.strip() for raw in text.split("\n")]
+    fences = sum(line.startswith("```") for line in lines) if "```" in text else 0
+    met = 0
+    for line in lines:
         if line.startswith("```"):
-            fenced = not fenced
-            continue
-        if not line or fenced or _LIST.match(line) or _HEADING.match(line):
-            continue
+            met += 1
+            blocks.append([])
+        elif not line or (met % 2 and met < fences) or _LIST.match(line) or _HEADING.match(line):
+            blocks.append([])
+        else:
+            blocks[-1].append(line)
+    out = []
+    for line in (x for block in blocks if block for x in unwrapped(block)):
         if "<" in line:
             line = _TAG.sub(" ", line)
         if "://" in line or "www." in line:
