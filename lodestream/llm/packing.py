@@ -79,6 +79,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
     return slots, n_bins
 
 
+#: Capacities are below this, so that a length and a rank below 2^44 fit one number.
+MOST_CAPACITY = 1 << 19
+
+
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """id_col, part, n_tokens, container_id: every item in one container, or a longer one in as many parts as it needs.
 
@@ -87,6 +91,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     Repeated rows are items of their own. The sum of n_tokens in a container never exceeds the capacity. An empty
     table gives no row.
     """
+    if not 0 < capacity < MOST_CAPACITY:
+        raise ValueError(f"a capacity is 1 to {MOST_CAPACITY - 1}")
     spark = items.sparkSession
     size = F.greatest(F.coalesce(F.col(size_col), F.lit(0)).cast("long"), F.lit(0).cast("long"))
     whole = F.floor(size / capacity).cast("int")
@@ -104,9 +110,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     counts = spread.groupBy("n_tokens", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("n_tokens", "_bucket", (F.sum("n").over(Window.partitionBy("n_tokens").orderBy("_bucket")) - F.col("n")).alias("_before"))
     within = Window.partitionBy("n_tokens", "_bucket").orderBy(id_col, "part")
-    ranked = spread.withColumn("_rank", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["n_tokens", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = spread.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
-    # Slots sorted by (length, first rank); a length's ranks are below 2^44, a capacity below 2^19.
+    # Slots sorted by (length, first rank); a length's ranks are below 2^44.
     table = np.array(sorted(slots), dtype=np.int64).reshape(-1, 5)
     starts = (table[:, 0] << 44) | table[:, 1]
     first_rank, first_bin, each = table[:, 1], table[:, 3], table[:, 4]
