@@ -5,18 +5,22 @@ zone) by one of a few anchored patterns, all inside the JVM. A value that names
 the parsed local time is joined as of the zone's exploded offset intervals, given in local time: one matching
 interval gives the offset, two mean that the local time occurs twice, none that it is skipped.
 
-Scale: no shuffle. The interval table has one row per zone and year; the zones are those of the time zone
-database that the data name, so the broadcast side has at most some 600 zones x the years of the data.
+Scale: the texts are parsed once, into a staged table, without a shuffle. The interval table has one row for each zone
+of the time zone database and year that occur together, whatever the year, so the broadcast side has at most some
+600 zones x the years of the data.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable, Sequence
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.runtime import staged
+
 # Month names by language, English three-letter forms included.
 MONTHS = {
     1: ("january", "jan", "januar", "janvier", "janeiro", "enero", "gennaio", "januari"),
@@ -45,20 +49,21 @@ _ZONE = r"(?:\s*(z|[a-z]{2,5}(?![a-z/_])|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?)?\s
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?(?![a-z]))?"
 _WEEKDAY = r"(?:[a-zäöüáéç\-]+\.?,\s*)?"
 
-#: name, pattern, order of the fields y mo d h mi s fraction half offset region in the pattern's groups
+#: how a text of the form begins, pattern, order of the fields y mo d h mi s fraction half offset region in its groups;
+#: a text is read by the first form that it begins like
 FORMS = (
-    ("year first", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:(?:\s*t\s*|,?\s+){_CLOCK})?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10"),
-    ("compact", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[t ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8|$9"),
-    ("slashes", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK})?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|$10"),
-    ("dots", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK}(?:\s*uhr)?)?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10"),
+    (r"^\d{4}[-/.]", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:(?:\s*t\s*|,?\s+){_CLOCK})?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10"),
+    (r"^\d{8}", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[t ]?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8|$9"),
+    (r"^\d{1,2}/", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK})?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|$10"),
+    (r"^\d{1,2}\.\d", rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK}(?:\s*uhr)?)?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10"),
     (
-        "day and month name",
+        rf"^{_WEEKDAY}\d",
         rf"^{_WEEKDAY}(\d{{1,2}})(?:\.|st|nd|rd|th|er|º)?(?:\s+|-)(?:(?:de|of)\s+)?([a-zäöüáéíóúàèùûôç]+)\.?,?(?:\s+|-)(?:de\s+)?(\d{{4}}|\d{{2}})"
         rf"(?:(?:,?\s*(?:at|à|às|um|a las)\s+|,?\s+)(\d{{1,2}})\s?[:h]\s?(\d{{2}})(?::(\d{{2}})(?:[.,](\d+))?)?\s*([ap]\.?m\.?(?![a-z]))?(?:\s*uhr)?)?{_ZONE}$",
         "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10",
     ),
     (
-        "month name first",
+        "",
         rf"^{_WEEKDAY}([a-z]+)\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:(?:,?\s*at\s+|,?\s+){_CLOCK})?{_ZONE}$",
         "$3|$1|$2|$4|$5|$6|$7|$8|$9|$10",
     ),
@@ -73,12 +78,13 @@ def _int(column: Column) -> Column:
 
 
 def _fields(text: Column) -> Column:
-    """Array of the ten fields, or null. ``text`` is trimmed, in lower case, with single blanks."""
+    """Array of the ten fields, or of another size if the text has no known form. ``text`` is trimmed, in lower case,
+    with single blanks. What a text begins with names its form, so that one long pattern is tried and no more."""
     out = None
-    for _, pattern, fields in FORMS:
-        hit = F.concat(fields_of(text, pattern, fields))
-        out = F.when(text.rlike(pattern), hit) if out is None else out.when(text.rlike(pattern), hit)
-    return F.split(out, r"\|")
+    for begins, pattern, fields in FORMS:
+        hit = F.regexp_replace(text, pattern, fields)
+        out = F.when(text.rlike(begins), hit) if out is None else out.when(text.rlike(begins), hit) if begins else out.otherwise(hit)
+    return F.when(~text.contains("|"), F.split(out, r"\|"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -86,10 +92,6 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def fields_of(text: Column, pattern: str, fields: str) -> Column:
-    return F.regexp_replace(text, pattern, fields)
-
-
 def _month(column: Column) -> Column:
     names = F.create_map(*[F.lit(x) for m, words in MONTHS.items() for w in words for x in (w, m)])
     return F.when(column.rlike(r"^\d+$"), _int(column)).otherwise(F.try_element_at(names, column))
@@ -100,14 +102,15 @@ def _fixed_offset(column: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
     numeric = r"^(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?$"
     size = F.regexp_extract(column, numeric, 2).try_cast("int") * 3600 + F.coalesce(F.regexp_extract(column, numeric, 3).try_cast("int"), F.lit(0)) * 60
-    return F.when(column.rlike(numeric), F.when(F.regexp_extract(column, numeric, 1) == "-", -size).otherwise(size)).otherwise(F.try_element_at(table, column))
+    return F.when(column.rlike("[+-]"), F.when(column.rlike(numeric), F.when(column.contains("-"), -size).otherwise(size))).otherwise(F.try_element_at(table, column))
 
 
 def parsed(values: DataFrame, text: str, day_first: str) -> DataFrame:
     """Adds epoch_us (values that are epochs), local_us, offset_s and region (as written, lower case)."""
     clean = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[\s  ]+", " "))
     df = _once(values, "_t", clean)
-    df = _once(df, "_f", F.when(~F.col("_t").rlike(_EPOCH), _fields(F.col("_t"))))
+    df = _once(df, "_f", _fields(F.col("_t")))
+    df = df.withColumn("_f", F.when(F.size("_f") == 10, F.col("_f")))
     f = [F.element_at("_f", i + 1) for i in range(10)]
     slashes = F.col("_t").rlike(r"^\d{1,2}/\d{1,2}/")
     swap = slashes & F.coalesce(F.col(day_first), F.lit(False))
@@ -145,20 +148,30 @@ def parsed(values: DataFrame, text: str, day_first: str) -> DataFrame:
         .when(digits(4) != "", digits(4).try_cast("long"))
         .when(digits(5) != "", F.floor(digits(5).try_cast("long") / 1000))
     )
-    return df.select(*values.columns, F.when(F.col("_t").rlike(_EPOCH), epoch).alias("epoch_us"), F.when(usable, local).alias("local_us"), "offset_s", "region")
+    return df.select(*values.columns, F.when(F.col("_t").rlike(r"^\d{9}"), epoch).alias("epoch_us"), F.when(usable, local).alias("local_us"), "offset_s", "region")
+
+
+_EPOCH_START = dt.datetime(1970, 1, 1)
+#: Seconds of the first and last instants that the library can turn into any zone's local time.
+_FIRST = int((dt.datetime(1, 1, 3) - _EPOCH_START).total_seconds())
+_LAST = int((dt.datetime(9999, 12, 29) - _EPOCH_START).total_seconds())
 
 
 def _offset_at(zone: ZoneInfo, second: int) -> int:
-    at = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=second)
+    at = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=min(max(second, _FIRST), _LAST))
     return int(at.astimezone(zone).utcoffset().total_seconds())
 
 
-def offset_intervals(zone_name: str, first_year: int, last_year: int) -> list[tuple[int, int, int]]:
-    """(from, to, offset) in UTC seconds covering the years, from the time zone database; a step is found to the second."""
+def _year_start(year: int) -> int:
+    """Seconds since 1970 of a year's beginning; the year after the last is that many days later."""
+    return int((dt.datetime(min(year, 9999), 1, 1) - _EPOCH_START).total_seconds()) + (365 * 86400 if year > 9999 else 0)
+
+
+def offset_intervals(zone_name: str, year: int) -> list[tuple[int, int, int]]:
+    """(from, to, offset) in UTC seconds covering the year and two days on either side, from the time zone database; a
+    step is found to the second."""
     zone = ZoneInfo(zone_name)
-    epoch = dt.datetime(1970, 1, 1)
-    start = int((dt.datetime(first_year, 1, 1) - epoch).total_seconds()) - 2 * 86400
-    end = int((dt.datetime(last_year + 1, 1, 1) - epoch).total_seconds()) + 2 * 86400
+    start, end = _year_start(year) - 2 * 86400, _year_start(year + 1) + 2 * 86400
     out: list[tuple[int, int, int]] = []
     begun, now = start, _offset_at(zone, start)
     at = start
@@ -179,41 +192,32 @@ def offset_intervals(zone_name: str, first_year: int, last_year: int) -> list[tu
     return out
 
 
-def interval_table(spark, zones: dict[str, str], first_year: int, last_year: int) -> DataFrame:
-    """region (as written), year, intervals: array of (local_from, local_to, offset_us) in local microseconds.
-
-    Each year has the intervals that touch it and the one before the first.
-    """
-    rows = []
-    epoch = dt.datetime(1970, 1, 1)
-    for written, name in sorted(zones.items()):
-        all_of = [((a + o) * 1_000_000, (b + o) * 1_000_000, o * 1_000_000) for a, b, o in offset_intervals(name, first_year, last_year)]
-        for year in range(first_year, last_year + 1):
-            lo = int((dt.datetime(year, 1, 1) - epoch).total_seconds()) * 1_000_000
-            hi = int((dt.datetime(year + 1, 1, 1) - epoch).total_seconds()) * 1_000_000
-            keep = [x for x in all_of if x[1] >= lo - _DAY_US and x[0] < hi + _DAY_US]
-            rows.append((written, year, keep))
+def interval_table(spark, wanted: Iterable[tuple[str, str, int]]) -> DataFrame:
+    """region (as written), year, intervals: array of (local_from, local_to, offset_us) in local microseconds, for each
+    (region as written, zone, year)."""
+    rows = [(written, year, [((a + o) * 1_000_000, (b + o) * 1_000_000, o * 1_000_000) for a, b, o in offset_intervals(name, year)]) for written, name, year in sorted(wanted)]
     return spark.createDataFrame(rows, "region string, year int, intervals array<struct<local_from:long, local_to:long, offset_us:long>>")
 
 
-def to_instants(values: DataFrame, text: str = "text", zone: str = "tz", day_first: str = "day_first") -> DataFrame:
+def to_instants(values: DataFrame, text: str = "text", zone: str = "tz", day_first: str = "day_first", keep: Sequence[str] | None = None) -> DataFrame:
     """Adds epoch_us (bigint, microseconds since 1970 UTC) and zone_case to every row; both are null if unusable.
 
     ``zone_case`` is fixed (an epoch, offset or abbreviation), single, ambiguous (the earlier instant) or skipped
     (moved later by the length of the gap). A zone or offset in the text prevails over column ``zone``, an offset
-    over a region beside it. Date alone is local midnight. Null, blank, impossible and other texts are unusable,
-    and so is a local time without any known zone. Rows, repeated ones included, and extra columns are kept.
+    over a region beside it. Date alone is local midnight. Years are 1 to 9999. Null, blank, impossible and other texts
+    are unusable, and so is a local time without any known zone. Rows, repeated ones included, and extra columns are
+    kept, or only the columns of ``keep``.
     """
     spark = values.sparkSession
+    kept = list(values.columns if keep is None else keep)
     by_lower = {z.lower(): z for z in available_timezones()}
-    df = parsed(values, text, day_first)
     wanted = F.coalesce(F.col("region"), F.lower(F.col(zone)))
-    local = df.withColumn("_region", F.when(F.col("offset_s").isNull(), wanted)).withColumn("_year", F.year(F.date_from_unix_date(F.floor(F.col("local_us") / _DAY_US).cast("int"))))
-    named = local.filter(F.col("local_us").isNotNull() & F.col("_region").isNotNull()).groupBy("_region").agg(F.min("_year").alias("lo"), F.max("_year").alias("hi"))
-    found = [r for r in named.filter(F.col("_region").isin(*by_lower)).collect() if r["lo"]]  # at most the zones of the database
-    zones = {r["_region"]: by_lower[r["_region"]] for r in found}
-    first, last = (max(1900, min(r["lo"] for r in found)), min(2200, max(r["hi"] for r in found))) if found else (1970, 1970)
-    table = interval_table(spark, zones, first, last).withColumnsRenamed({"region": "_region", "year": "_year"})
+    year = F.year(F.date_from_unix_date(F.floor(F.col("local_us") / _DAY_US).cast("int")))
+    local = parsed(values, text, day_first).select(*kept, "epoch_us", "local_us", "offset_s", F.when(F.col("offset_s").isNull(), wanted).alias("_region"), year.alias("_year"))
+    local = staged(local, "local-times")
+    named = local.filter(F.col("local_us").isNotNull() & F.col("_region").isNotNull()).select("_region", "_year").distinct()
+    found = named.filter(F.col("_region").isin(*by_lower)).collect()  # at most the zones of the database x 9,999 years
+    table = interval_table(spark, [(r["_region"], by_lower[r["_region"]], r["_year"]) for r in found]).withColumnsRenamed({"region": "_region", "year": "_year"})
     joined = local.join(F.broadcast(table), ["_region", "_year"], "left")
     at = F.col("local_us")
     hits = F.filter("intervals", lambda x: (x["local_from"] <= at) & (at < x["local_to"]))
@@ -223,11 +227,11 @@ def to_instants(values: DataFrame, text: str = "text", zone: str = "tz", day_fir
     offset = F.when(F.col("offset_s").isNotNull(), F.col("offset_s") * 1_000_000).when(F.size(hits) > 0, biggest).when(F.size(before) > 0, previous)
     instant = F.coalesce("epoch_us", at - offset)
     case = F.when(F.col("epoch_us").isNotNull() | F.col("offset_s").isNotNull(), "fixed").when(F.size(hits) > 1, "ambiguous").when(F.size(hits) == 1, "single").otherwise("skipped")
-    return joined.select(*values.columns, instant.alias("epoch_us"), F.when(instant.isNotNull(), case).alias("zone_case"))
+    return joined.select(*kept, instant.alias("epoch_us"), F.when(instant.isNotNull(), case).alias("zone_case"))
 
 
 def draft_instants(drafts: DataFrame, feeds: DataFrame) -> DataFrame:
     """draft_id, field_name, epoch_us of every usable event_date and observed_at text of signal_event_draft."""
     rules = feeds.select("source", "tz", "day_first").dropDuplicates(["source"])
     long = drafts.select("draft_id", "source", F.explode(F.array(F.struct(F.lit("event_date").alias("field_name"), F.col("event_date").alias("text")), F.struct(F.lit("observed_at").alias("field_name"), F.col("observed_at").alias("text")))).alias("v")).select("draft_id", "source", "v.field_name", "v.text").filter(F.col("text").isNotNull())
-    return to_instants(long.join(rules, "source", "left")).filter(F.col("epoch_us").isNotNull()).select("draft_id", "field_name", "epoch_us").distinct()
+    return to_instants(long.join(rules, "source", "left"), keep=["draft_id", "field_name"]).filter(F.col("epoch_us").isNotNull()).select("draft_id", "field_name", "epoch_us").distinct()
