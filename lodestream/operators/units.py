@@ -1,14 +1,16 @@
 """Quantities recorded in different units and scales, converted to common units.
 
-A text is rewritten into fields (currency, number, scale, currency of one or two amounts, open end) by one
-anchored pattern inside the JVM. A number that can be read in more than one way, or that comes without a unit, is
-a set of candidate readings. Columns that state the same physical quantity of the same entity (the money that a
-company has raised, by two tables; its head count, by a text and by a number) are an identity: the candidate
-combination with the least sum of squared log residuals against the other observations is chosen, and where two
-combinations fit equally well the value is flagged as not unique.
-
-Scale: the texts are parsed without a shuffle; identities are pre-aggregated to one anchor per entity before they
-are joined, so a hot entity is one row of the build side.
+A text is rewritten into fields (currency, number, scale, currency of one or two amounts, open end) by one anchored
+pattern inside the JVM. These become candidates, the combinations of units that the text leaves open: a sign before
+three digits is a thousands or a decimal sign; a number without any unit has every currency and every power of a
+thousand. Identities hold between columns: dollars = number x scale x rate of the currency, and both tables state the
+money that one company has raised; employee_range and headcount are one company's number of people. Of the candidates
+the one with the least sum of squared log residuals against the other statements of the quantity is chosen; where
+the next one is as good, or nothing else states the quantity, the value is flagged as not unique.
+
+Scale: the texts are parsed once, without a shuffle, into a staged table. A text with one candidate needs no identity
+and no join. The others' identities are one anchor per entity (squared residuals against many statements are least
+where the residual against their mean is), pre-aggregated before the join, so that a hot entity is one row.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.runtime import staged
+
 # Currency signs and codes as written, by ISO code.
 CURRENCIES = {
     "us$": "USD", "usd": "USD", "$": "USD", "ca$": "CAD", "c$": "CAD", "cad": "CAD", "a$": "AUD", "au$": "AUD", "aud": "AUD", "r$": "BRL", "brl": "BRL",
@@ -30,6 +34,9 @@ SCALES = {
     "cr": 10**7, "cr.": 10**7, "crore": 10**7, "crores": 10**7, "lakh": 10**5, "lakhs": 10**5, "lac": 10**5, "dozen": 12, "score": 20,
 }
 
+#: Residuals that differ by no more than this (in logs) are equally good.
+TOLERANCE = 0.05
+
 #: Scales whose writers use the comma as decimal sign.
 COMMA_DECIMAL_SCALES = ("mio", "mio.", "mrd", "mrd.", "tsd")
 
@@ -76,30 +83,29 @@ def total_part(text: Column) -> Column:
 def readings(number: Column, scale: Column) -> Column:
     """Array of the decimal strings that the written number can stand for, the likeliest first.
 
-    One sign before exactly three digits is the only doubtful form: a dot without a scale word, or a comma beside
-    a scale word of comma-decimal languages, can be a thousands or a decimal sign.
+    One sign before exactly three digits is the doubtful form: a thousands or a decimal sign. A comma is doubtful before a
+    scale word of a language with decimal commas only, and then likelier decimal; a dot is likelier decimal before a
+    scale word of another language.
     """
     squeezed = F.regexp_replace(number, "[ ']", "")
     last_comma = F.regexp_replace(F.regexp_replace(squeezed, r"\.", ""), ",", ".")
     no_comma = F.regexp_replace(squeezed, ",", "")
     no_dot = F.regexp_replace(squeezed, r"\.", "")
     both = squeezed.contains(".") & squeezed.contains(",")
-    comma_last = squeezed.rlike(r",\d*$")
     one_dot = squeezed.rlike(r"^[1-9]\d{0,2}\.\d{3}$")
     one_comma = squeezed.rlike(r"^[1-9]\d{0,2},\d{3}$")
     comma_scale = scale.isin(*COMMA_DECIMAL_SCALES)
-    return (
-        F.when(both & comma_last, F.array(last_comma))
+    marked = (
+        F.when(both & squeezed.rlike(r",\d*$"), F.array(last_comma))
         .when(both, F.array(no_comma))
         .when(squeezed.rlike(r"\..*\."), F.array(no_dot))
         .when(squeezed.rlike(r",.*,"), F.array(no_comma))
-        .when(one_dot & (scale == ""), F.array(no_dot, squeezed))
-        .when(one_dot & comma_scale, F.array(no_dot, squeezed))
-        .when(one_comma & comma_scale, F.array(last_comma, no_comma))
-        .when(one_comma, F.array(no_comma))
+        .when(one_dot, F.when((scale == "") | comma_scale, F.array(no_dot, squeezed)).otherwise(F.array(squeezed, no_dot)))
+        .when(one_comma, F.when(comma_scale, F.array(last_comma, no_comma)).otherwise(F.array(no_comma)))
         .when(squeezed.contains(","), F.array(last_comma))
         .otherwise(F.array(squeezed))
     )
+    return F.when(squeezed.rlike("[.,]"), marked).otherwise(F.array(squeezed))
 
 
 def parsed_quantities(values: DataFrame, text: str, unit: str | None = None) -> DataFrame:
@@ -151,104 +157,114 @@ def parsed_quantities(values: DataFrame, text: str, unit: str | None = None) ->
 
 
 def anchors(observations: DataFrame) -> DataFrame:
-    """entity, anchor: the mean log of the observations of each entity that can be read in one way only."""
-    return observations.filter(F.col("value") > 0).groupBy("entity").agg(F.avg(F.ln(F.col("value").cast("double"))).alias("anchor"))
+    """kind, entity, anchor: the mean log of the observations of each entity that can be read in one way only."""
+    return observations.filter(F.col("value") > 0).groupBy("kind", "entity").agg(F.avg(F.ln(F.col("value").cast("double"))).alias("anchor"))
 
 
-def choose(candidates: Column, anchor: Column, tolerance: float = 0.05) -> Column:
-    """struct(value, solution): of an array of decimals the one of least log residual against ``anchor``.
+def solve(candidates: Column, anchor: Column, tolerance: float = TOLERANCE) -> Column:
+    """struct(chosen, residual, solution): of an array of candidates (currency, scale, low, high), the likeliest first,
+    the one of least log residual against ``anchor``.
 
-    ``solution`` is stated (one reading), identity (the identity decides), or not_unique (no anchor, or two
-    readings within ``tolerance`` of each other; the likeliest reading is kept).
+    ``solution`` is stated (there is one candidate), identity (the identity decides), or not_unique (no anchor, or two
+    candidates within ``tolerance`` of each other; then a stated currency's likeliest candidate is kept, and of all
+    currencies the nearest). The log of a range is that of its middle.
     """
-    scored = F.array_sort(F.transform(candidates, lambda x, i: F.struct(F.abs(F.ln(F.greatest(x.cast("double"), F.lit(1e-9))) - anchor).alias("r"), i.alias("i"), x.alias("v"))))
-    unique = F.size(candidates) == 1
-    clear = anchor.isNotNull() & (F.try_element_at(scored, F.lit(2))["r"] - F.try_element_at(scored, F.lit(1))["r"] > tolerance)
-    return F.when(unique, F.struct(F.element_at(candidates, 1).alias("value"), F.lit("stated").alias("solution"))).when(
-        clear, F.struct(F.try_element_at(scored, F.lit(1))["v"].alias("value"), F.lit("identity").alias("solution"))
-    ).otherwise(F.struct(F.element_at(candidates, 1).alias("value"), F.lit("not_unique").alias("solution")))
+    log = lambda x: F.ln(F.greatest(x.cast("double"), F.lit(1e-9)))
+    residual = lambda c: F.abs((log(c["low"]) + log(F.coalesce(c["high"], c["low"]))) / 2 - anchor)
+    scored = F.array_sort(F.transform(candidates, lambda c, i: F.struct(residual(c).alias("r"), i.alias("i"))))
+    one, two = F.try_element_at(scored, F.lit(1)), F.try_element_at(scored, F.lit(2))
+    clear = anchor.isNotNull() & (two["r"] - one["r"] > tolerance)
+    bare = F.size(candidates) > 2
+    at = F.when(clear | (bare & anchor.isNotNull()), one["i"] + 1).otherwise(F.lit(1))
+    return F.struct(F.element_at(candidates, at).alias("chosen"), F.when(anchor.isNotNull(), one["r"]).alias("residual"), F.when(F.size(candidates) == 1, "stated").when(clear, "identity").otherwise("not_unique").alias("solution"))
+
+
+def quantity_fields(results: DataFrame, companies: DataFrame) -> DataFrame:
+    """The texts of the three fields: table_name, record_id, field_name, kind, entity, text, unit; repeated rows once."""
 
+    def field(df: DataFrame, table: str, name: str, kind: str, entity: str, unit: str | None) -> DataFrame:
+        return df.select(F.lit(table).alias("table_name"), F.col("id").alias("record_id"), F.lit(name).alias("field_name"), F.lit(kind).alias("kind"), F.col(entity).alias("entity"), F.col(name).alias("text"), (F.col(unit) if unit else F.lit(None).cast("string")).alias("unit"))
 
-def _in_dollars(parsed: DataFrame, rates: DataFrame) -> DataFrame:
-    table = rates.select("currency", F.col("usd_per_unit").cast("decimal(12,8)").alias("rate")).filter(F.col("currency").isNotNull()).dropDuplicates(["currency"])
-    usd = lambda xs: F.transform(xs, lambda x: (x * F.col("rate")).cast("decimal(30,6)"))
-    joined = parsed.withColumn("_cur", F.col("q.currency")).join(F.broadcast(table.withColumnRenamed("currency", "_cur")), "_cur", "left")
-    return joined.withColumn("lows", usd(F.col("q.lows"))).withColumn("highs", usd(F.col("q.highs"))).drop("_cur")
+    raised = field(results, "company_signal_result", "total_raised", "money", "company_id", "amount_unit")
+    company = companies.select("id", F.explode(F.array(F.struct(F.lit("funding").alias("field_name"), F.lit("money").alias("kind"), F.col("funding").alias("text")), F.struct(F.lit("employee_range").alias("field_name"), F.lit("people").alias("kind"), F.col("employee_range").alias("text")))).alias("f"))
+    stated = company.select(F.lit("discovery_company").alias("table_name"), F.col("id").alias("record_id"), "f.field_name", "f.kind", F.col("id").alias("entity"), "f.text", F.lit(None).cast("string").alias("unit"))
+    return raised.unionByName(stated).filter(F.col("text").rlike(r"\d")).distinct()
 
 
-def money_fields(results: DataFrame, companies: DataFrame) -> DataFrame:
-    """The money texts of both tables: table_name, record_id, entity, field_name, text, unit; repeated rows once."""
-    raised = results.select(F.lit("company_signal_result").alias("table_name"), F.col("id").alias("record_id"), F.col("company_id").alias("entity"), F.lit("total_raised").alias("field_name"), F.col("total_raised").alias("text"), F.col("amount_unit").alias("unit"))
-    funding = companies.select(F.lit("discovery_company").alias("table_name"), F.col("id").alias("record_id"), F.col("id").alias("entity"), F.lit("funding").alias("field_name"), F.col("funding").alias("text"), F.lit(None).cast("string").alias("unit"))
-    return raised.unionByName(funding).filter(F.col("text").isNotNull()).distinct()
+def unit_combinations(rates: DataFrame) -> DataFrame:
+    """One row, ``all``: every currency with its rate and every power of a thousand; a rate table has at most some 180 currencies."""
+    table = rates.select("currency", F.col("usd_per_unit").cast("decimal(12,8)").alias("rate")).filter(F.col("currency").isNotNull() & F.col("rate").isNotNull()).groupBy("currency").agg(F.max("rate").alias("rate"))
+    return table.select("currency", "rate", F.explode(F.array(*[F.lit(10**k).cast("long") for k in (0, 3, 6, 9)])).alias("scale")).agg(F.collect_list(F.struct("currency", "scale", "rate")).alias("all"))
 
 
-def head_count_fields(companies: DataFrame) -> DataFrame:
-    return companies.select(F.lit("discovery_company").alias("table_name"), F.col("id").alias("record_id"), F.col("id").alias("entity"), F.lit("employee_range").alias("field_name"), F.col("employee_range").alias("text"), F.lit(None).cast("string").alias("unit")).filter(F.col("text").isNotNull()).distinct()
+CANDIDATE = "array<struct<currency:string,scale:bigint,low:decimal(30,6),high:decimal(30,6)>>"
 
 
-def _finish(chosen: DataFrame) -> DataFrame:
-    """Whole units, half up; a range in ascending order; an open end as -1."""
-    low = F.round("low.value", 0).cast("long")
-    high = F.when(F.col("high.value").isNotNull(), F.round("high.value", 0).cast("long")).when(F.col("q.open_up"), F.lit(-1).cast("long")).otherwise(low)
+def solved_quantities(results: DataFrame, companies: DataFrame, rates: DataFrame) -> DataFrame:
+    """table_name, record_id, field_name, currency, scale, low_value, high_value, residual, solution, has_unit: one row for
+    each text that states a quantity.
+
+    Input: company_signal_result (id, company_id, total_raised, amount_unit), discovery_company (id, funding,
+    employee_range, headcount) and currency_rate. Values are whole US dollars (half up) or people. A single value has
+    equal ends; one open upwards has high_value -1. The currency in the text prevails over amount_unit; ``has_unit`` is
+    false for money that names neither a currency nor a scale, which is solved by the identity alone: without any other
+    statement of its company its values are null and its solution is none. Money with a scale only, or with a currency
+    without a rate, gives no row, nor do null, blank and numberless texts. Repeated rows count once. Empty tables are
+    allowed. Texts with a stated total are read at the total, otherwise at their first amount.
+    """
+    parsed = staged(parsed_quantities(quantity_fields(results, companies), "text", "unit").filter(F.col("q").isNotNull()).drop("text", "unit"), "quantities")
+    money, people = F.col("kind") == "money", F.col("kind") == "people"
+    bare = money & F.col("q.currency").isNull() & ~F.col("q.scaled")
+    stated = unit_combinations(rates).select(F.map_from_entries(F.transform(F.filter("all", lambda x: x["scale"] == 1), lambda x: F.struct(x["currency"], x["rate"]))).alias("rates"), "all")
+    df = parsed.filter(people | bare | F.col("q.currency").isNotNull()).join(F.broadcast(stated), F.lit(True))
+    rate = F.when(people, F.lit(1).cast("decimal(12,8)")).otherwise(F.try_element_at("rates", F.col("q.currency")))
+
+    def candidate(currency: Column, scale: Column, factor: Column, low: Column, high: Column) -> Column:
+        to = lambda x: (x * factor).cast("decimal(30,6)")
+        return F.struct(currency.alias("currency"), scale.alias("scale"), to(low).alias("low"), to(high).alias("high"))
+
+    # Both ends of a range are read alike.
+    high_of = lambda i: F.coalesce(F.try_element_at("q.highs", F.when(F.size("q.highs") == F.size("q.lows"), i + 1).otherwise(F.lit(1))), F.lit(None).cast("decimal(26,4)"))
+    read = F.transform("q.lows", lambda low, i: candidate(F.when(money, F.col("q.currency")), F.lit(1).cast("long"), rate, low, high_of(i)))
+    every = F.transform("all", lambda x: candidate(x["currency"], x["scale"], x["rate"] * x["scale"].cast("decimal(13,0)"), F.element_at("q.lows", 1), F.try_element_at("q.highs", F.lit(1))))
+    options = F.when(bare, every.cast(CANDIDATE)).otherwise(read.cast(CANDIDATE))
+    df = df.filter(bare | rate.isNotNull()).select("table_name", "record_id", "field_name", "kind", "entity", "q.open_up", (~bare).alias("has_unit"), options.alias("candidates")).filter(F.size("candidates") > 0)
+
+    single = F.size("candidates") == 1
+    sure = df.filter(single & F.col("candidates")[0]["high"].isNull() & F.col("has_unit")).select("kind", "entity", F.col("candidates")[0]["low"].alias("value"))
+    known = companies.filter(F.col("headcount") > 0).select(F.lit("people").alias("kind"), F.col("id").alias("entity"), F.col("headcount").cast("decimal(30,6)").alias("value")).distinct()
+    # People are judged by headcount alone: a count that is read in one way is no statement of another row.
+    open_ = df.filter(~single).join(anchors(sure.filter(money).unionByName(known)), ["kind", "entity"], "left").withColumn("s", solve(F.col("candidates"), F.col("anchor")))
+    fixed = df.filter(single).select("table_name", "record_id", "field_name", "open_up", "has_unit", F.col("candidates")[0].alias("c"), F.lit(None).cast("double").alias("residual"), F.lit("stated").alias("solution"))
+    solved = open_.select("table_name", "record_id", "field_name", "open_up", "has_unit", F.when(F.col("has_unit") | F.col("anchor").isNotNull(), F.col("s.chosen")).alias("c"), F.col("s.residual").alias("residual"), F.when(~F.col("has_unit") & F.col("anchor").isNull(), "none").otherwise(F.col("s.solution")).alias("solution"))
+    out = fixed.unionByName(solved)
+    low = F.round("c.low", 0).cast("long")
+    high = F.when(F.col("c.high").isNotNull(), F.round("c.high", 0).cast("long")).when(F.col("open_up") & low.isNotNull(), F.lit(-1).cast("long")).otherwise(low)
     swap = (high >= 0) & (high < low)
-    return chosen.select("table_name", "record_id", "field_name", F.when(swap, high).otherwise(low).alias("low_value"), F.when(swap, low).otherwise(high).alias("high_value"), F.col("low.solution").alias("solution"))
+    return out.select(
+        "table_name", "record_id", "field_name", "c.currency", "c.scale", F.when(swap, high).otherwise(low).alias("low_value"), F.when(swap, low).otherwise(high).alias("high_value"),
+        F.round("residual", 6).alias("residual"), "solution", "has_unit",
+    )
 
 
-def _resolved(rows: DataFrame, identity: DataFrame) -> DataFrame:
-    joined = rows.join(identity, "entity", "left")
-    # Both ends of a range are read alike: the reading of the low end decides the high end's by its position.
-    chosen = joined.withColumn("low", choose(F.col("lows"), F.col("anchor")))
-    at = F.when(F.size("highs") == F.size("lows"), F.array_position(F.col("lows"), F.col("low.value"))).otherwise(F.lit(1))
-    return _finish(chosen.withColumn("high", F.struct(F.try_element_at("highs", F.greatest(at, F.lit(1)).cast("int")).alias("value"))))
+def converted_quantities(solved: DataFrame) -> DataFrame:
+    """table_name, record_id, field_name, low_value, high_value, solution of the quantities whose unit is stated."""
+    return solved.filter("has_unit").select("table_name", "record_id", "field_name", "low_value", "high_value", "solution")
 
 
 def converted_money(results: DataFrame, companies: DataFrame, rates: DataFrame) -> DataFrame:
-    """table_name, record_id, field_name, low_value, high_value in whole US dollars, solution.
-
-    Input: company_signal_result (id, company_id, total_raised, amount_unit), discovery_company (id, funding) and
-    currency_rate. A row for each text that states an amount and a currency that has a rate; the currency in the
-    text prevails over amount_unit. A single value has equal ends; one open upwards has high_value -1. Null,
-    blank and numberless texts, and money without a currency, give no row. Repeated rows count once. Empty tables
-    are allowed. Texts with a stated total are read at the total; otherwise at their first amount.
-    """
-    parsed = _in_dollars(parsed_quantities(money_fields(results, companies), "text", "unit"), rates).filter(F.col("rate").isNotNull())
-    sure = parsed.filter((F.size("lows") == 1) & F.col("highs").isNull()).select("entity", F.element_at("lows", 1).alias("value"))
-    return _resolved(parsed, anchors(sure))
+    """The money whose unit is stated."""
+    return converted_quantities(solved_quantities(results, companies, rates)).filter(F.col("field_name") != "employee_range")
 
 
 def converted_head_counts(companies: DataFrame) -> DataFrame:
     """The same for discovery_company.employee_range in people; its identity is the column headcount."""
-    parsed = parsed_quantities(head_count_fields(companies), "text").filter(F.col("q").isNotNull()).withColumn("lows", F.col("q.lows")).withColumn("highs", F.col("q.highs"))
-    known = companies.select(F.col("id").alias("entity"), F.col("headcount").cast("decimal(26,4)").alias("value")).distinct()
-    return _resolved(parsed, anchors(known))
-
+    nothing = companies.select("id", F.col("id").alias("company_id"), F.col("employee_range").alias("total_raised"), F.col("employee_range").alias("amount_unit")).limit(0)
+    rates = companies.select(F.col("employee_range").alias("currency"), F.lit(1.0).alias("usd_per_unit")).limit(0)
+    return converted_quantities(solved_quantities(nothing, companies, rates)).filter(F.col("field_name") == "employee_range")
 
-def inferred_units(results: DataFrame, companies: DataFrame, rates: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Money that is written without any unit, solved by the identity: table_name, record_id, field_name, currency, scale, usd, residual, solution.
 
-    The identity is that both tables state the money raised by one company. Every combination of currency and
-    power of a thousand is a candidate; the one of least absolute log residual against the company's stated
-    amounts wins, and is unique if the next one's residual is larger by more than ``tolerance``. Without a stated
-    amount of the same company there is no solution (usd is null).
-    """
-    spark = results.sparkSession
-    stated = _in_dollars(parsed_quantities(money_fields(results, companies), "text", "unit"), rates)
-    known = anchors(stated.filter(F.col("rate").isNotNull() & (F.size("lows") == 1) & F.col("highs").isNull()).select("entity", F.element_at("lows", 1).alias("value")))
-    bare = stated.filter(F.col("q").isNotNull() & F.col("q.currency").isNull() & ~F.col("q.scaled")).select("table_name", "record_id", "field_name", "entity", F.element_at("q.lows", 1).cast("double").alias("number"))
-    scales = spark.createDataFrame([(1,), (1000,), (1_000_000,), (1_000_000_000,)], "scale long")
-    table = rates.select("currency", "usd_per_unit").dropna().dropDuplicates(["currency"])
-    # One row with all combinations: a rate has at most some 180 currencies.
-    combos = table.crossJoin(scales).agg(F.collect_list(F.struct("currency", "scale", (F.col("usd_per_unit") * F.col("scale")).alias("factor"))).alias("combos"))
-    joined = bare.join(known, "entity", "left").join(F.broadcast(combos.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k"))
-    residual = lambda x: F.abs(F.ln(F.greatest(F.col("number") * x["factor"], F.lit(1e-9))) - F.col("anchor"))
-    best = F.array_sort(F.transform("combos", lambda x: F.struct(residual(x).alias("r"), x["currency"].alias("currency"), x["scale"].alias("scale"), x["factor"].alias("factor"))))
-    out = joined.withColumn("best", best)
-    one, two = F.element_at("best", 1), F.element_at("best", 2)
-    solved = F.col("anchor").isNotNull()
-    return out.select(
-        "table_name", "record_id", "field_name",
-        F.when(solved, one["currency"]).alias("currency"), F.when(solved, one["scale"]).alias("scale"),
-        F.when(solved, F.round(F.col("number") * one["factor"], 0).cast("long")).alias("usd"), F.when(solved, F.round(one["r"], 6)).alias("residual"),
-        F.when(~solved, "none").when(two["r"] - one["r"] > tolerance, "identity").otherwise("not_unique").alias("solution"),
-    )
+def inferred_units(results: DataFrame, companies: DataFrame, rates: DataFrame) -> DataFrame:
+    """The money that is written without any unit: table_name, record_id, field_name, currency, scale, usd, residual, solution."""
+    solved = solved_quantities(results, companies, rates).filter(~F.col("has_unit"))
+    return solved.select("table_name", "record_id", "field_name", "currency", "scale", F.col("low_value").alias("usd"), "residual", "solution")

@@ -34,10 +34,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p3_found(spark, sf_dir))
 
 
+def p5_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.solved_quantities(load(spark, sf_dir, "company_signal_result"), load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "currency_rate"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    companies = load(spark, sf_dir, "discovery_company")
-    money = units.converted_money(load(spark, sf_dir, "company_signal_result"), companies, load(spark, sf_dir, "currency_rate"))
-    return money.unionByName(units.converted_head_counts(companies)).select("table_name", "record_id", "field_name", "low_value", "high_value").distinct()
+    return units.converted_quantities(p5_solved(spark, sf_dir)).select("table_name", "record_id", "field_name", "low_value", "high_value").distinct()
 
 
 def p5_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.draft_instants(load(spark, sf_dir, "signal_event_draft"), load(spark, sf_dir, "feed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_features, p3_found, p3_report, p5_found, p5_inferred, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_features, p3_found, p3_report, p5_found, p5_solved, p5_inferred, p6_found)}
 
 
 ORACLES = {
