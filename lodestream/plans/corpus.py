@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(p3_found(spark, sf_dir))
+    return orphans.orphan_report(_references(spark, sf_dir), load(spark, sf_dir, "discovery_company"), load(spark, sf_dir, "removed_company"))
 
 
 def p5_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
