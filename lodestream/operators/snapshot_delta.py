@@ -1,14 +1,14 @@
 """What changed between consecutive full snapshots of a table.
 
-Every snapshot is summarised per hash bucket by an invertible Bloom lookup table (IBLT). Subtracting the tables
-of two consecutive snapshots cancels every row that both hold alike, so the work that follows grows with the
-difference and not with the table: the cells that are left are peeled into (key hash, value hash) pairs, buckets
-that don't peel are built again with more cells, the bucket's digest proves that the recovered set is whole, and
-the pairs are classified as added, removed or changed.
-
-Scale: rows are shuffled once to pick the valid delivery; the cells of a snapshot are pre-aggregated in the map
-stage; no task holds more than the cells of one bucket; keys are spread by hash, so that a hot company has no
-bucket of its own.
+Rows are shuffled once, by a hash bucket of their key, so that a bucket has its keys of all snapshots. In the bucket the
+valid delivery of each key is picked and every snapshot is summarised by an invertible Bloom lookup table (IBLT) and a
+digest. Subtracting the tables of two consecutive snapshots cancels every row that both hold alike; the cells that are
+left are peeled into (key hash, value hash) pairs, a pair of tables that doesn't peel is built again with more cells,
+the digest proves that the recovered set is whole, and the keys are classified as added, removed or changed.
+
+Scale: one exchange, no join, nothing is staged. The tables start with FIRST_CELLS cells and grow with the difference, not
+with the bucket; two snapshots of a bucket with equal digests are not subtracted at all. Keys are spread by hash, so
+that a hot company has no bucket of its own, and a task holds one bucket of some ROWS_PER_BUCKET rows at a time.
 """
 
 from __future__ import annotations
@@ -21,17 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.hashing import xxhash64_longs
-from lodestream.runtime import staged
 
 N_HASHES = 3
-#: Expected rows of one snapshot in one bucket. Bounds what a peeling task holds.
-ROWS_PER_BUCKET = 2048
-#: Cells of the first attempt as a share of the bucket's rows; a failed bucket gets GROWTH times as many.
-FIRST_CELLS = 0.75
+#: Expected rows of all snapshots in one bucket. Bounds what a task holds.
+ROWS_PER_BUCKET = 16_384
+#: Cells of the first attempt; a pair of tables that doesn't peel gets GROWTH times as many. With more than MOST_CELLS
+#: times the rows there is nothing left to gain, and the two snapshots are compared row by row.
+FIRST_CELLS = 96
 GROWTH = 3
+MOST_CELLS = 6
 _ABSENT = "\u0001absent"
 
-ELEMENT = "pair long, bucket long, key_hash long, change_kind string"
+CHANGE = "snapshot_on string, company_id string, external_id string, change_kind string"
 
 
 def _fold_text(values: pd.Series) -> pd.Series:
@@ -45,8 +46,11 @@ def _fold_text(values: pd.Series) -> pd.Series:
 
 
 def fold_text(column: Column) -> Column:
+    """The same for a column; only texts with other than ASCII letters need Python."""
+    plain = F.coalesce(column.rlike(r"^[\x00-\x7f]*$"), F.lit(True))
     fold = F.pandas_udf(_fold_text, "string")
-    return fold(column)
+    ascii_ = F.trim(F.regexp_replace(F.lower(column), r"[\t-\r\x1c-\x1f ]+", " "))
+    return F.when(plain, ascii_).otherwise(fold(F.when(~plain, column)))
 
 
 def _nullable(column: Column) -> Column:
@@ -103,50 +107,45 @@ def _digest(k, v) -> np.ndarray:
     return xxhash64_longs(v, k) & np.int64(0xFFFFFFFF)
 
 
-def _peel_bucket(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-    pair, bucket = int(key[0]), int(key[1])
-    n_cells = int(cells["n_cells"].iloc[0])
-    live = cells[(cells["n"] != 0) | (cells["key_xor"] != 0) | (cells["value_xor"] != 0) | (cells["check_xor"] != 0)]
-    found, _ = peel(live, n_cells)
-    kinds: list[tuple[int, str]] = [(0, "failed")]
-    if found is not None:
-        first = cells[cells["cell"] < n_cells // N_HASHES]
-        said = int((found["sign"].to_numpy(np.int64) * _digest(found["key_hash"].to_numpy(np.int64), found["value_hash"].to_numpy(np.int64))).sum()) if len(found) else 0
-        if said == int(first["digest"].sum()):
-            kinds = _classify(found)
-    return pd.DataFrame({"pair": [pair] * len(kinds), "bucket": [bucket] * len(kinds), "key_hash": [k for k, _ in kinds], "change_kind": [x for _, x in kinds]}, columns=["pair", "bucket", "key_hash", "change_kind"])
-
+def lookup_table(keys: np.ndarray, values: np.ndarray, n_cells: int) -> dict[str, np.ndarray]:
+    """The IBLT of a set of (key hash, value hash): n, key_xor, value_xor, check_xor of each of ``n_cells`` cells."""
+    part = n_cells // N_HASHES
+    check = xxhash64_longs(keys, values)
+    out = {name: np.zeros(part * N_HASHES, np.int64) for name in ("n", "key_xor", "value_xor", "check_xor")}
+    for i in range(N_HASHES):
+        at = i * part + np.mod(xxhash64_longs(keys, values, np.full(len(keys), i)), part)
+        np.add.at(out["n"], at, 1)
+        for name, x in (("key_xor", keys), ("value_xor", values), ("check_xor", check)):
+            np.bitwise_xor.at(out[name], at, x)
+    return out
+
+
+def _sum_digest(keys: np.ndarray, values: np.ndarray) -> int:
+    return int(_digest(keys, values).sum())
+
+
+def differences(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], first_cells: int = FIRST_CELLS) -> list[tuple[int, str]]:
+    """(key hash, kind) of the keys that differ between two sets of (key hashes, value hashes)."""
+    wanted = _sum_digest(*new) - _sum_digest(*old)
+    if not wanted and len(old[0]) == len(new[0]) and np.bitwise_xor.reduce(xxhash64_longs(*old), initial=0) == np.bitwise_xor.reduce(xxhash64_longs(*new), initial=0):
+        return []
+    n_cells = int(max(first_cells, N_HASHES * 8)) // N_HASHES * N_HASHES
+    while n_cells <= MOST_CELLS * max(len(old[0]), len(new[0]), N_HASHES * 8):
+        a, b = lookup_table(*old, n_cells), lookup_table(*new, n_cells)
+        cells = pd.DataFrame({"n": b["n"] - a["n"], **{x: a[x] ^ b[x] for x in ("key_xor", "value_xor", "check_xor")}})
+        live = cells[cells.any(axis=1)]
+        found, _ = peel(live.assign(cell=live.index), n_cells)
+        if found is not None:
+            sign, k, v = (found[x].to_numpy(np.int64) for x in ("sign", "key_hash", "value_hash"))
+            if int((sign * _digest(k, v)).sum()) == wanted:
+                return _classify(found)
+        n_cells *= GROWTH
+    before, after = set(zip(*map(np.ndarray.tolist, old))), set(zip(*map(np.ndarray.tolist, new)))
+    rest = [(-1, *x) for x in before - after] + [(1, *x) for x in after - before]
+    return _classify(pd.DataFrame(rest, columns=["sign", "key_hash", "value_hash"]))
 
-def iblt_difference(rows: DataFrame, n_cells: int, last_pair: int, wanted: DataFrame | None = None) -> DataFrame:
-    """Recovered elements of every (pair, bucket), or one row of kind 'failed' for a bucket that didn't peel.
 
-    ``rows``: snapshot_no, bucket, key_hash, value_hash, all bigint, unique by the first three. Pair p, from 1 to
-    ``last_pair``, compares snapshot p with p - 1; ``wanted`` restricts the (pair, bucket)s.
-    """
-    part = n_cells // N_HASHES
-    spots = F.array(*[F.lit(i * part) + F.pmod(F.xxhash64("key_hash", "value_hash", F.lit(i).cast("long")), F.lit(part)) for i in range(N_HASHES)])
-    cells = (
-        rows.withColumn("check", F.xxhash64("key_hash", "value_hash"))
-        .withColumn("dig", F.xxhash64("value_hash", "key_hash").bitwiseAND(F.lit(0xFFFFFFFF)))
-        .withColumn("cell", F.explode(spots))
-        .groupBy("snapshot_no", "bucket", "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key_hash").alias("key_xor"), F.bit_xor("value_hash").alias("value_xor"), F.bit_xor("check").alias("check_xor"), F.sum("dig").alias("digest"))
-    )
-    # Each snapshot's table takes part in two subtractions: as the later one (+) and as the earlier one (-).
-    sides = F.array(F.struct(F.col("snapshot_no").alias("pair"), F.lit(1).cast("long").alias("sign")), F.struct((F.col("snapshot_no") + 1).alias("pair"), F.lit(-1).cast("long").alias("sign")))
-    signed = cells.withColumn("side", F.explode(sides)).select("side.pair", "side.sign", "bucket", "cell", "n", "key_xor", "value_xor", "check_xor", "digest").filter(F.col("pair").between(1, last_pair))
-    if wanted is not None:
-        signed = signed.join(wanted, ["pair", "bucket"], "left_semi")
-    left = (
-        signed.groupBy("pair", "bucket", "cell")
-        .agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.bit_xor("key_xor").alias("key_xor"), F.bit_xor("value_xor").alias("value_xor"), F.bit_xor("check_xor").alias("check_xor"), F.sum(F.col("sign") * F.col("digest")).alias("digest"))
-        .filter((F.col("n") != 0) | (F.col("key_xor") != 0) | (F.col("value_xor") != 0) | (F.col("digest") != 0))
-        .withColumn("n_cells", F.lit(n_cells))
-    )
-    return left.groupBy("pair", "bucket").applyInPandas(_peel_bucket, ELEMENT)
-
-
-def snapshot_changes(snapshots: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, first_cells: float = FIRST_CELLS) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, first_cells: int = FIRST_CELLS) -> DataFrame:
     """Posts added, removed or changed in each snapshot against the snapshot of the preceding date.
 
     Input: snapshot_on, company_id, external_id, title, location, first_seen_at, delivered_at; other columns are
@@ -157,52 +156,35 @@ def snapshot_changes(snapshots: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKE
     holds, and among equals the greatest (first_seen_at, title, location). Repeated rows count once. Null equals
     null only. An empty table, or a single snapshot, gives no row. Texts may be of any length.
     """
-    spark = snapshots.sparkSession
     trimmed = F.lower(F.regexp_replace("external_id", r"^[\s ]+|[\s ]+$", ""))
-    valid = (
-        snapshots.select("snapshot_on", "company_id", trimmed.alias("external_id"), "title", "location", "first_seen_at", "delivered_at")
-        .filter((F.length("external_id") > 0) & F.col("snapshot_on").isNotNull())
-        .groupBy("snapshot_on", "company_id", "external_id")
-        .agg(F.max(F.struct("delivered_at", "first_seen_at", "title", "location")).alias("row"))
-    )
+    posts = snapshots.select("snapshot_on", "company_id", trimmed.alias("external_id"), "title", "location", "first_seen_at", "delivered_at").filter((F.length("external_id") > 0) & F.col("snapshot_on").isNotNull())
+    dates = {r["snapshot_on"]: r["n"] for r in posts.groupBy("snapshot_on").agg(F.count(F.lit(1)).alias("n")).collect()}
+    days = sorted(dates)
+    n_buckets = max(1, round(sum(dates.values()) / rows_per_bucket))
+    bucket = F.pmod(F.hash("external_id", _nullable(F.col("company_id"))), F.lit(n_buckets))
+    value = F.xxhash64(_nullable(fold_text(F.col("title"))), _nullable(fold_text(F.col("location"))), _nullable(F.date_trunc("second", "first_seen_at")))
+    # The exchange by bucket also serves the two groupings below, which are by the bucket and more.
+    clustered = posts.withColumn("bucket", bucket).withColumn("value_hash", value).repartition("bucket")
+    valid = clustered.groupBy("bucket", "snapshot_on", "company_id", "external_id").agg(F.max(F.struct("delivered_at", "first_seen_at", "title", "location", "value_hash")).alias("row"))
+    number = F.create_map(*[F.lit(x) for i, d in enumerate(days) for x in (d, i)]) if days else F.create_map().cast("map<date,int>")
     hashed = valid.select(
-        "snapshot_on",
-        "company_id",
-        "external_id",
-        F.xxhash64(_nullable(F.col("company_id")), "external_id").alias("key_hash"),
-        F.hash("external_id", _nullable(F.col("company_id"))).cast("long").alias("bucket_hash"),
-        F.xxhash64(_nullable(fold_text(F.col("row.title"))), _nullable(fold_text(F.col("row.location"))), _nullable(F.date_trunc("second", "row.first_seen_at"))).alias("value_hash"),
-    )
-    rows = staged(hashed, "snapshot-rows")
-    dates = sorted((r["snapshot_on"], r["n"]) for r in rows.groupBy("snapshot_on").agg(F.count(F.lit(1)).alias("n")).collect())
-    if len(dates) < 2:
-        return rows.select(F.col("snapshot_on").cast("string").alias("snapshot_on"), "company_id", "external_id", F.lit("").alias("change_kind")).limit(0)
-    number = {d: i for i, (d, _) in enumerate(dates)}
-    numbers = spark.createDataFrame([(d, i) for d, i in number.items()], "snapshot_on date, snapshot_no long")
-    most = max(n for _, n in dates)
-    n_buckets = max(1, round(most / rows_per_bucket))
-    numbered = rows.join(F.broadcast(numbers), "snapshot_on").withColumn("bucket", F.pmod(F.col("bucket_hash"), F.lit(n_buckets)).cast("long"))
-    elements = numbered.select("snapshot_no", "bucket", "key_hash", "value_hash")
-
-    n_cells = max(24, int(max(8, most // n_buckets) * first_cells) // N_HASHES * N_HASHES)
-    changes, wanted = None, None
-    while True:
-        tried = staged(iblt_difference(elements, n_cells, len(dates) - 1, wanted), "snapshot-peeled")
-        whole = tried.filter(F.col("change_kind") != "failed")
-        changes = whole if changes is None else changes.unionByName(whole)
-        wanted = tried.filter(F.col("change_kind") == "failed").select("pair", "bucket")
-        if wanted.isEmpty():
-            break
-        # Only the two snapshots of a failed pair, and only their failed bucket, are built again, with more cells.
-        again = wanted.select(F.explode(F.array(F.col("pair"), F.col("pair") - 1)).alias("snapshot_no"), "bucket").distinct()
-        elements = numbered.select("snapshot_no", "bucket", "key_hash", "value_hash").join(again, ["snapshot_no", "bucket"], "left_semi")
-        n_cells *= GROWTH
-    # An added or changed post is spelt out by its row in the later snapshot, a removed one by the earlier.
-    where = changes.select(F.when(F.col("change_kind") == "removed", F.col("pair") - 1).otherwise(F.col("pair")).alias("snapshot_no"), "bucket", "key_hash", "pair", "change_kind")
-    later = spark.createDataFrame([(i, str(d)) for d, i in number.items()], "pair long, on string")
-    return (
-        numbered.select("snapshot_no", "bucket", "key_hash", "company_id", "external_id")
-        .join(where, ["snapshot_no", "bucket", "key_hash"])
-        .join(F.broadcast(later), "pair")
-        .select(F.col("on").alias("snapshot_on"), "company_id", "external_id", "change_kind")
-    )
+        "bucket", number[F.col("snapshot_on")].alias("snapshot_no"), "company_id", "external_id", F.xxhash64(_nullable(F.col("company_id")), "external_id").alias("key_hash"),
+        F.col("row.value_hash").alias("value_hash"),
+    )
+    names = [str(d) for d in days]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        parts = {int(no): part for no, part in rows.groupby("snapshot_no")}
+        none = rows.iloc[:0]
+        pair_of = lambda part: (part["key_hash"].to_numpy(np.int64), part["value_hash"].to_numpy(np.int64))
+        for no in range(1, len(names)):
+            old, new = parts.get(no - 1, none), parts.get(no, none)
+            changes = differences(pair_of(old), pair_of(new), first_cells)
+            if changes:
+                # an added or changed post is spelt out by its row in the later snapshot, a removed one by the earlier
+                spelt = {s: dict(zip(part["key_hash"].tolist(), zip(part["company_id"], part["external_id"]))) for s, part in ((0, old), (1, new))}
+                out += [(names[no], *spelt[kind != "removed"][k], kind) for k, kind in changes]
+        return pd.DataFrame(out, columns=["snapshot_on", "company_id", "external_id", "change_kind"])
+
+    return hashed.groupBy("bucket").applyInPandas(run, CHANGE)
