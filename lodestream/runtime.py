@@ -53,10 +53,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all of Spark is on
+    this machine (tests), and an error otherwise, since each executor would write to a disk of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = tempfile.mkdtemp(prefix="lodestream-")
@@ -66,6 +69,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SHARED[app]
 
 
+_STAGED: set[str] = set()
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it is removed when the driver ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/lodestream/{spark.sparkContext.applicationId}"
+    if path not in _STAGED:
+        _STAGED.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the context has ended before; the folder's owner clears it
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the staged tables; for long sessions, after the results that read them have been written."""
+    _remove(spark, stage_dir(spark))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -73,7 +101,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     share one evaluation. The table is columnar and compressed, so it is smaller than a checkpointed RDD.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestream/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestream.config import DEFAULTS
 from lodestream.operators.events import CLUSTERED, ClusterFold
-from lodestream.runtime import shared_dir
+from lodestream.runtime import stage_dir
 
 
 def distinct_events(stream: DataFrame, at: str, keys: list[str], lateness: str = "30 days") -> DataFrame:
@@ -82,7 +82,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     import uuid
 
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/lodestream/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{stage_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     else:
