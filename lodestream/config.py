@@ -57,6 +57,34 @@ EVENT_WEIGHTS = {
     "exec_departure": 16, "layoffs": 16, "acquisition": 20, "expansion": 12, "partnership": 10, "social_post": 8, "engagement": 12, "competitor_touch": 14,
 }
 
+# Words of a title that make a funding round of it, and of a signal that speak of money.
+ROUND_WORDS = r"(?i)\b(series [a-h]|seed|pre-seed|round)\b"
+MONEY_WORDS = r"(?i)\b(series\s*[a-j]|seed\s*round|pre-seed|raised\s+\$|funding\s+round|\$\d+[\d,.]*\s*[mbk]?)\b"
+
+# The address of a job on a careers page of its own, with the first path part as the board's slug.
+EMBEDDED_BOARD = r"(?i)https?://[^/\s\"']+/([a-zA-Z0-9_-]+)\?[^\"'\s]*gh_jid=\d+"
+
+# Categories of technologies whose adoption is an event.
+TECH_EVENT_CATEGORIES = (
+    "A/B Testing", "Accounting", "Advertising", "Analytics", "Appointment scheduling",
+    "Authentication", "CMS", "CRM", "Customer data platform", "Documentation", "Ecommerce",
+    "Email", "Feature management", "Form builders", "IaaS", "Issue trackers", "LMS",
+    "Live chat", "Loyalty & rewards", "Marketing automation", "PaaS", "Payment processors",
+    "Personalisation", "RUM", "Recruitment & staffing", "Referral marketing", "Retargeting",
+    "Reviews", "Search engines", "Segmentation", "Surveys", "Translation", "User onboarding",
+    "Webmail", "Wikis",
+)
+
+# Patterns of technologies in markup, where there is no rule set.
+FALLBACK_TECH = (
+    ("hubspot", (r"hubspot\.com", r"hs-scripts", r"hbspt\.")), ("salesforce", (r"salesforce\.com", r"force\.com", r"pardot\.com")), ("intercom", (r"intercom\.io", r"intercomSettings")),
+    ("drift", (r"drift\.com",)), ("zendesk", (r"zendesk\.com",)), ("crisp", (r"crisp\.chat", r"client\.crisp\.chat")), ("calendly", (r"calendly\.com",)), ("stripe", (r"js\.stripe\.com", r"stripe\.com/v3")),
+    ("braintree", (r"braintreegateway\.com",)), ("paypal", (r"paypalobjects\.com",)), ("segment", (r"cdn\.segment\.com", r"analytics\.js")), ("mixpanel", (r"mixpanel\.com", r"mixpanel\.init")),
+    ("heap", (r"heapanalytics\.com", r"heap\.io")), ("hotjar", (r"hotjar\.com",)), ("clarity", (r"clarity\.ms",)), ("klaviyo", (r"a\.klaviyo\.com", r"klaviyo\.com/onsite")), ("mailchimp", (r"list-manage\.com",)),
+    ("shopify", (r"cdn\.shopify\.com", r"Shopify\.theme")), ("react", (r"_next/static", r"react\.production\.min", r"__NEXT_DATA__")), ("next.js", (r"_next/", r"__NEXT_DATA__")),
+    ("vue", (r"vue\.runtime", r"__vue__")), ("angular", (r"ng-version=",)), ("cloudflare", (r"cloudflare\.com", r"__cf_bm", r"cf-ray")),
+)
+
 # Sources whose events are tied to the company by identity.
 IDENTITY_SOURCES = ("company_feed", "sec_edgar", "sec_8k", "usaspending", "warn_notice", "github", "npm")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,18 +14,25 @@ from lodestream import config
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def strip_html(html: Column, entities_first: bool = True) -> Column:
+def _unescape(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
+def strip_html(markup: Column, entities_first: bool = True) -> Column:
     """Plain text of a markup fragment; entities are decoded before the tags go, or after."""
 
     def decode(c: Column) -> Column:
-        for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            c = F.replace(c, F.lit(name), F.lit(sign))
-        return c
+        """The few entities that nearly all markup has inside the JVM, any other one by Python's table."""
+        rest = F.replace(c, F.lit("&nbsp;"), F.lit(" "))
+        for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+            rest = F.replace(rest, F.lit(name), F.lit(sign))
+        rare = F.coalesce(F.regexp_replace(c, "&(?:lt|gt|quot|#39|apos|amp|nbsp);", "").rlike(r"&(?:#|[A-Za-z])"), F.lit(False))
+        return F.when(rare, F.translate(F.pandas_udf(_unescape, "string")(F.when(rare, c)), "\u00a0", " ")).otherwise(rest)
 
     def untag(c: Column) -> Column:
         return F.regexp_replace(c, "<[^>]+>", " ")
 
-    text = untag(decode(html)) if entities_first else decode(untag(html))
+    text = untag(decode(markup)) if entities_first else decode(untag(markup))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 

@@ -18,8 +18,10 @@ def root_domain(value: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(F.element_at(labels, 1))
 
 
-def same_site(a: Column, b: Column) -> Column:
-    return root_domain(host(a)) == root_domain(host(b))
+def same_site(url: Column, site: Column) -> Column:
+    """Whether an address is on the site of another: its host is the site's or below it, www. aside."""
+    h, s = F.lower(F.try_parse_url(url, F.lit("HOST"))), host(site)
+    return (h == s) | h.endswith(F.concat(F.lit("."), s))
 
 
 def path_slug(url: Column) -> Column:
@@ -42,6 +44,6 @@ def board_candidates(html: Column) -> Column:
         slugs = F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(1))
         slugs = F.transform(slugs, lambda s: F.lower(s)) if board == "ashby" else slugs
         found.append(labelled(board, slugs))
-    embed = F.regexp_extract_all(html, F.lit(r"(?i)https?://[^/\s\"']+/([a-zA-Z0-9_-]+)\?[^\"'\s]*gh_jid=\d+"), F.lit(1))
+    embed = F.regexp_extract_all(html, F.lit(config.EMBEDDED_BOARD), F.lit(1))
     found.append(labelled("greenhouse", embed))
     return F.array_distinct(F.flatten(F.array(*found)))

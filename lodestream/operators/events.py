@@ -37,9 +37,6 @@ def relevant(events: DataFrame, name: str) -> DataFrame:
     return kept.withColumn("confidence", F.when(trusted | (m >= 1.0), F.col("confidence")).otherwise(F.bround(F.coalesce("confidence", F.lit(0.85)) * m, 3)))
 
 
-_MONEY_WORDS = r"(?i)\b(series\s*[a-j]|seed\s*round|pre-seed|raised\s+\$|funding\s+round|\$\d+[\d,.]*\s*[mbk]?)\b"
-
-
 def grounded_funding(df: DataFrame, signals: str, score: str, stage: str, raised: str, evidence: str) -> DataFrame:
     """Keeps funding claims if there is evidence text and the stage occurs in it; otherwise drops the funding
     signals, nulls stage and amount and caps the score at 35, or 25 if nothing else is left."""
@@ -47,7 +44,7 @@ def grounded_funding(df: DataFrame, signals: str, score: str, stage: str, raised
     said = F.trim(F.lower(F.coalesce(F.col(stage), F.lit(""))))
     fine = (F.trim(text) != "") & ((said == "") | text.contains(said))
     all_signals = F.coalesce(F.col(signals), F.array().cast("array<string>"))
-    others = F.filter(all_signals, lambda s: ~s.rlike(_MONEY_WORDS))
+    others = F.filter(all_signals, lambda s: ~s.rlike(config.MONEY_WORDS))
     claims = (F.coalesce(F.col(stage), F.lit("")) != "") | (F.coalesce(F.col(raised), F.lit("")) != "") | (F.size(others) < F.size(all_signals))
     strip = ~fine & claims
     cap = F.when(F.size(others) > 0, 35).otherwise(25)
@@ -78,15 +75,19 @@ def _indel_bound(a: str, b: str) -> float:
 
 
 def _indel(a: str, b: str) -> float:
-    """100 x (1 - insertions and deletions / length of both), by the longest common subsequence."""
+    """100 x (1 - insertions and deletions / length of both), by the longest common subsequence. A bit of ``row`` is 0
+    where the subsequence grows, so that a letter of b is one addition."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for ch in a:
-        before = 0
-        for j, other in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if ch == other else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & at.get(ch, 0)
+        row = (row + hit) | (row - hit)
+    return 200.0 * (len(a) - (row & full).bit_count()) / (len(a) + len(b))
 
 
 def _headline(title: str) -> str:
@@ -138,12 +139,15 @@ def cluster_reports(reports: DataFrame) -> DataFrame:
     """Events after the ordered fold. ``reports``: company_id, event_type, dedupe_key, title, observed_at, url, confidence,
     story, person, amount.
 
-    Rows are partitioned by company and type and sorted by time and key; each task folds its sorted rows in one
-    stream. After a gap longer than the look-back no report can reach an earlier event, so the fold starts afresh
-    and what it holds is bounded by the events of such a run, not by the group.
+    After a gap longer than the look-back no report can reach an earlier event, so a group falls into runs between such
+    gaps. Rows are partitioned by company, type and run and sorted by time and key; each task folds its sorted rows in
+    one stream, and what it holds is bounded by the events of a run, not by the group.
     """
     columns = ["company_id", "event_type", "dedupe_key", "title", "observed_at", "url", "confidence", "story", "person", "amount"]
-    ordered = reports.select(*columns).repartition("company_id", "event_type").sortWithinPartitions("company_id", "event_type", "observed_at", "dedupe_key")
+    in_order = Window.partitionBy("company_id", "event_type").orderBy("observed_at", "dedupe_key")
+    gap = F.unix_micros("observed_at") - F.unix_micros(F.lag("observed_at").over(in_order)) > DEFAULTS.cluster_days * 86_400_000_000
+    runs = reports.select(*columns).withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = runs.repartition("company_id", "event_type", "_run").sortWithinPartitions("company_id", "event_type", "observed_at", "dedupe_key").select(*columns)
 
     def rows_of(fold: ClusterFold, company: str) -> list[tuple]:
         return [(company, fold.event_type, e["key"], e["title"], pd.Timestamp(round(e["at"] * 1e6), unit="us"), round(e["confidence"], 6), e["n_reports"]) for e in fold.kept]
@@ -174,16 +178,19 @@ def stories(events: DataFrame, group: list[str], story: str, order: list[str], c
     return events.groupBy(*group, story).agg(F.count(F.lit(1)).alias("n_reports"), F.round(F.least(F.lit(cap), first + gain * (F.count(F.lit(1)) - 1)), 6).alias("confidence"))
 
 
-def heat(events: DataFrame, key: str, as_of: Column, weights: dict[str, int], days: float = DEFAULTS.heat_days) -> DataFrame:
-    """Adds ``contribution``: weight x e^(-age in days / days) x confidence; unknown types weigh nothing."""
+def heat(events: DataFrame, key: str, as_of: Column, weights: dict[str, int], days: float = DEFAULTS.heat_days, relevance: Column | None = None, unknown: float = 10.0) -> DataFrame:
+    """Adds ``contribution``: weight x e^(-age in whole days / days) x relevance x confidence; an unknown type has the
+    weight ``unknown``, and without a measure of relevance it is 1."""
     table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-    age = (F.unix_micros(as_of) - F.unix_micros("observed_at")) / 86_400_000_000
-    return events.withColumn("contribution", F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit(0.0)) * F.exp(-age / days) * F.coalesce("confidence", F.lit(1.0)))
+    age = F.floor((F.unix_micros(as_of) - F.unix_micros("observed_at")) / 86_400_000_000)
+    weight = F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit(float(unknown)))
+    return events.withColumn("contribution", weight * F.exp(-age / days) * (F.lit(1.0) if relevance is None else relevance) * F.coalesce("confidence", F.lit(1.0)))
 
 
 def heat_scores(contributions: DataFrame, key: str, cap: float = DEFAULTS.heat_cap) -> DataFrame:
+    """key, raw_heat, heat: the sum, and the sum in whole points up to the cap."""
     total = F.sum("contribution")
-    return contributions.groupBy(key).agg(F.round(total, 4).alias("raw_heat"), F.least(F.lit(cap), F.round(total, 4)).alias("heat"))
+    return contributions.groupBy(key).agg(F.round(total, 4).alias("raw_heat"), F.least(F.lit(int(cap)), F.bround(F.round(total, 4), 0).cast("int")).alias("heat"))
 
 
 def heat_reasons(contributions: DataFrame, key: str, n: int = 3) -> DataFrame:

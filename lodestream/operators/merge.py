@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-POLICIES = ("overwrite", "keep_old", "fill_null", "fill_empty", "fill_zero", "greatest", "least")
+POLICIES = ("overwrite", "prefer_new", "keep_old", "fill_null", "fill_empty", "fill_zero", "greatest", "least")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -19,7 +19,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def keyed_merge(state: DataFrame, batch: DataFrame, keys: Sequence[str], policies: dict[str, str]) -> DataFrame:
     """Full outer merge. Each column's policy says which side holds where both have the key: overwrite (the batch),
-    keep_old, fill_null (old unless null), fill_empty (old unless null or blank), fill_zero (old unless null or 0),
+    prefer_new (the batch unless null), keep_old, fill_null (old unless null), fill_empty (old unless null or blank), fill_zero (old unless null or 0),
     greatest, least. Keys must be unique on both sides; null keys are equal to each other."""
     unknown = {p for p in policies.values() if p not in POLICIES}
     if unknown:
@@ -36,6 +36,8 @@ def keyed_merge(state: DataFrame, batch: DataFrame, keys: Sequence[str], policie
         o, n, policy = F.col(f"o_{c}"), F.col(f"n_{c}"), policies[c]
         if policy == "overwrite":
             merged = n
+        elif policy == "prefer_new":
+            merged = F.coalesce(n, o)
         elif policy == "keep_old":
             merged = o
         elif policy == "fill_null":
@@ -52,8 +54,13 @@ def keyed_merge(state: DataFrame, batch: DataFrame, keys: Sequence[str], policie
 
 
 def insert_ignore(state: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The batch rows that are truly new: the first of each key, if the state doesn't have the key."""
-    return latest_per_key(batch, keys, order).join(state.select(*keys).distinct(), list(keys), "left_anti")
+    """The batch rows that are truly new: the first of each key, if the state doesn't have the key. As in a unique
+    index, a key with a null in it equals no other, so such rows are all new."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    whole = latest_per_key(batch.filter(~null), keys, order).join(state.select(*keys).distinct(), list(keys), "left_anti")
+    return whole.select(*batch.columns).unionByName(batch.filter(null))
 
 
 def close_missing(state: DataFrame, batch: DataFrame, group: str, key: str, closed: str, at: Column) -> DataFrame:
@@ -80,9 +87,12 @@ def closed_over_snapshots(snapshots: DataFrame, group: str, key: str, on: str, c
     return last.join(later, [group, "_last"], "left").select(group, key, closed)
 
 
-def merge_patch(state: DataFrame, patches: DataFrame, key: str, column: str) -> DataFrame:
-    """Shallow right-wins merge of string maps by key."""
-    right = patches.select(key, F.col(column).alias("_patch"))
+def merge_patch(state: DataFrame, patches: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """Shallow right-wins merge of string maps by key. Several patches of a key are one, of each entry the last by
+    ``order`` (without it, the greatest value) holding."""
+    at = F.struct(F.col(order), F.col("_v")) if order else F.col("_v")
+    entries = patches.select(key, *([order] if order else []), F.explode(column).alias("_k", "_v")).groupBy(key, "_k").agg(F.max_by("_v", at).alias("_v"))
+    right = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_patch"))
     joined = state.join(right, key, "left")
     old, new = F.coalesce(F.col(column), F.create_map().cast("map<string,string>")), F.coalesce("_patch", F.create_map().cast("map<string,string>"))
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import catalogue, corpus, oracles, streams
+from lodestream.plans import catalogue, corpus, oracles, streams, updates
 from lodestream.runtime import ship
 
 FLAGSHIP = "p3_found"
@@ -28,5 +28,5 @@ def in_utc(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: in_utc(query) for name, query in (corpus.QUERIES | catalogue.QUERIES | streams.QUERIES).items()}
-ORACLES: dict[str, str] = corpus.ORACLES | oracles.ORACLES | streams.ORACLES
+QUERIES: dict[str, Query] = {name: in_utc(query) for name, query in (corpus.QUERIES | catalogue.QUERIES | updates.QUERIES | streams.QUERIES).items()}
+ORACLES: dict[str, str] = corpus.ORACLES | oracles.ORACLES | updates.ORACLES | streams.ORACLES

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream import config
 from lodestream.functions import dates, text, urls
 
 _RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string,source:string>>>"
@@ -42,15 +43,21 @@ def recent(entries: DataFrame, as_of: Column, days: int, most: int, undated: boo
     return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
-def feed_links(pages: DataFrame, keywords=("blog", "news", "changelog", "release", "press"), most: int = 3) -> DataFrame:
-    """company_id, feed_url, place of the feeds that a page (company_id, url, html) links to on its own site, those
-    with a keyword first."""
+# Words in a feed's address, the most telling first.
+FEED_WORDS = ("changelog", "release", "product", "news", "press", "blog")
+
+
+def feed_links(pages: DataFrame, keywords=FEED_WORDS, most: int = 3) -> DataFrame:
+    """company_id, feed_url, place of the feeds that a page (company_id, url, html) links to on its own site, by the
+    first keyword in their address."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*application/(?:rss|atom)\+xml[^>]*>"), F.lit(0))
     each = pages.select("company_id", "url", F.posexplode(tags).alias("place", "tag"))
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']([^\"']+)", 1)
     site = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     full = F.when(href.startswith("/"), F.concat(site, href)).otherwise(href)
-    rank = F.when(F.lower("tag").rlike("|".join(keywords)), 0).otherwise(1)
+    rank = F.lit(len(keywords))
+    for i, word in reversed(list(enumerate(keywords))):
+        rank = F.when(F.lower("feed_url").contains(word), i).otherwise(rank)
     own = each.withColumn("feed_url", full).filter((full != "") & urls.same_site(F.col("feed_url"), F.col("url")))
     w = Window.partitionBy("company_id").orderBy(rank, "place")
     return own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("company_id", "feed_url", "place")
@@ -66,7 +73,7 @@ def judged(entries: DataFrame, verdicts: DataFrame, events: dict[str, str]) -> D
 
 def demoted(events: DataFrame, amount: str = "amount") -> DataFrame:
     """A funding event with neither an amount nor a round in its title is but a mention."""
-    bare = (F.col("event_type") == "funding_round") & (F.coalesce(F.col(amount), F.lit("")) == "") & ~F.col("title").rlike(r"(?i)(\$|€|£)\s?\d|\b(series\s+[a-j]|seed|pre-seed|round|raises|raised)\b")
+    bare = (F.col("event_type") == "funding_round") & (F.coalesce(F.col(amount), F.lit("")) == "") & ~F.coalesce(F.col("title"), F.lit("")).rlike(config.ROUND_WORDS)
     return events.withColumn("event_type", F.when(bare, "news_mention").otherwise(F.col("event_type")))
 
 
