@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestream.operators import event_features, instants, orphans, snapshot_delta, units
 from lodestream.runtime import load
@@ -20,6 +21,12 @@ def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_features.entity_features(load(spark, sf_dir, "signal_event"), as_of="2025-06-30")
 
 
+def p2_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features in long form, a row for each company and type."""
+    rows = event_features.window_features(event_features.cumulative_store(load(spark, sf_dir, "signal_event")), "2025-03-31", (7, 30, 90))
+    return rows.select("company_id", "event_type", "n_events", "n_events_7d", "n_events_30d", "n_events_90d", F.round("total_confidence", 4).alias("total_confidence"), F.round("total_confidence_30d", 4).alias("total_confidence_30d"), F.datediff(F.lit("2025-03-31").cast("date"), F.to_date("last_observed_at")).alias("days_since_last"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     watch = orphans.references(load(spark, sf_dir, "company"), "company", "id", "discovery_company_id", "created_at")
     posts = orphans.references(load(spark, sf_dir, "discovery_job_post"), "discovery_job_post", "id", "company_id", "first_seen_at")
@@ -50,7 +57,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.draft_instants(load(spark, sf_dir, "signal_event_draft"), load(spark, sf_dir, "feed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_features, p3_found, p3_report, p5_found, p5_solved, p5_inferred, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_features, p2_windows, p3_found, p3_report, p5_found, p5_solved, p5_inferred, p6_found)}
 
 
 ORACLES = {
@@ -80,6 +87,17 @@ SELECT company_id, event_type, CAST(count(*) AS BIGINT) AS n_events FROM (
     SELECT dedupe_key, company_id, regexp_replace(trim(lower(event_type)), '[ _-]+', '_', 'g') AS kind
     FROM signal_event WHERE trim(event_type) <> '') GROUP BY dedupe_key)
 GROUP BY company_id, event_type
+""",
+    "p2_windows": r"""
+WITH e AS (
+  SELECT company_id, event_type, CAST(seen AT TIME ZONE 'UTC' AS DATE) AS day, coalesce(c, 0) AS c FROM (
+    SELECT dedupe_key, min(company_id) AS company_id, min(kind) AS event_type, min(observed_at) AS seen, max(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END) AS c FROM (
+      SELECT dedupe_key, company_id, regexp_replace(trim(lower(event_type)), '[ _-]+', '_', 'g') AS kind, observed_at, confidence FROM signal_event WHERE trim(event_type) <> '') GROUP BY dedupe_key)
+  WHERE CAST(seen AT TIME ZONE 'UTC' AS DATE) <= DATE '2025-03-31')
+SELECT company_id, event_type, count(*) AS n_events, count(*) FILTER (day > DATE '2025-03-24') AS n_events_7d, count(*) FILTER (day > DATE '2025-03-01') AS n_events_30d,
+       count(*) FILTER (day > DATE '2024-12-31') AS n_events_90d, round(sum(c), 4) AS total_confidence, round(coalesce(sum(c) FILTER (day > DATE '2025-03-01'), 0), 4) AS total_confidence_30d,
+       CAST(DATE '2025-03-31' - max(day) AS INTEGER) AS days_since_last
+FROM e GROUP BY 1, 2
 """,
     "p3_found": r"""
 WITH refs AS (
