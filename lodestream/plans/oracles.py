@@ -10,11 +10,16 @@ _SIGNALS = """
          max(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END) AS confidence
   FROM signal_event WHERE trim(event_type) <> '' GROUP BY dedupe_key, company_id
 """
-_KNOWN = "|".join(sorted(config.EVENT_WEIGHTS, key=len, reverse=True))
-_WEIGHTS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in config.EVENT_WEIGHTS.items()) + " ELSE 0 END"
+_WEIGHTS = (
+    ("concept_first_seen", 15), ("competitor_touch", 14), ("role_first_seen", 18), ("tech_first_seen", 10), ("product_launch", 18), ("exec_departure", 16), ("funding_round", 30), ("concept_spike", 20),
+    ("gov_contract", 20), ("hiring_surge", 14), ("news_mention", 10), ("tech_dropped", 12), ("acquisition", 20), ("partnership", 10), ("social_post", 8), ("job_change", 15), ("role_spike", 14),
+    ("engagement", 12), ("exec_hire", 18), ("expansion", 12), ("layoffs", 16),
+)
+_KNOWN = "|".join(k for k, _ in _WEIGHTS)
 _HEAT = f"""
-  SELECT company_id, event_type, {_WEIGHTS} * exp(-((epoch_us({NOW}) - epoch_us(observed_at)) / 86400000000.0) / 30.0) * coalesce(confidence, 1.0) AS contribution
-  FROM (SELECT *, regexp_extract(full_type, '^({_KNOWN})', 1) AS event_type FROM ({_SIGNALS}))
+  SELECT company_id, event_type, (CASE event_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _WEIGHTS)} ELSE 10 END)
+         * exp(-floor((epoch_us({NOW}) - epoch_us(observed_at)) / 86400000000.0) / 30.0) * coalesce(confidence, 1.0) AS contribution
+  FROM (SELECT *, coalesce(nullif(regexp_extract(full_type, '^({_KNOWN})', 1), ''), full_type) AS event_type FROM ({_SIGNALS}))
 """
 _RESULTS = "SELECT DISTINCT id, company_id, captured_at, hiring_count, hiring_roles, tech_stack FROM company_signal_result"
 _PAIRED = f"""
@@ -145,10 +150,9 @@ SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type
 """,
     "close_missing": """
-WITH s AS (SELECT DISTINCT snapshot_on, company_id, lower(trim(external_id)) AS external_id FROM job_post_snapshot WHERE trim(external_id) <> ''),
-a AS (SELECT * FROM s WHERE snapshot_on = DATE '2025-03-24'), b AS (SELECT * FROM s WHERE snapshot_on = DATE '2025-03-31')
-SELECT a.company_id, a.external_id, CASE WHEN b.external_id IS NULL AND EXISTS (SELECT 1 FROM b x WHERE x.company_id = a.company_id) THEN DATE '2025-03-31' END AS closed_on
-FROM a LEFT JOIN b ON a.company_id = b.company_id AND a.external_id = b.external_id
+WITH s AS (SELECT DISTINCT snapshot_on, company_id, lower(trim(external_id)) AS external_id FROM job_post_snapshot WHERE trim(external_id) <> '' AND snapshot_on IS NOT NULL),
+l AS (SELECT company_id, external_id, max(snapshot_on) AS last_on FROM s GROUP BY 1, 2)
+SELECT company_id, external_id, (SELECT min(snapshot_on) FROM s WHERE s.company_id = l.company_id AND s.snapshot_on > l.last_on) AS closed_on FROM l
 """,
     "json_patch": """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'patched' ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_type = 'purchase' THEN 'yes' END AS seen FROM events
@@ -157,15 +161,16 @@ SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'patched' ELSE json_extr
 SELECT dedupe_key, id FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY observed_at, id) AS k FROM signal_event WHERE observed_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00')
 WHERE k = 1 AND dedupe_key NOT IN (SELECT dedupe_key FROM signal_event WHERE observed_at < TIMESTAMPTZ '2025-01-01 00:00:00+00')
 """,
-    "heat_scores": f"SELECT company_id, round(sum(contribution), 4) AS raw_heat, least(100.0, round(sum(contribution), 4)) AS heat FROM ({_HEAT}) GROUP BY 1",
+    "heat_scores": f"SELECT company_id, round(sum(contribution), 4) AS raw_heat, CAST(least(100, round_even(round(sum(contribution), 4), 0)) AS INTEGER) AS heat FROM ({_HEAT}) GROUP BY 1",
     "heat_reasons": f"""
 SELECT company_id, event_type, contribution, CAST(place AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY contribution DESC, event_type) AS place FROM (
     SELECT company_id, event_type, round(sum(contribution), 4) AS contribution FROM ({_HEAT}) GROUP BY 1, 2) WHERE contribution > 0) WHERE place <= 3
 """,
     "story_cluster": f"""
+WITH t AS (SELECT dedupe_key, company_id, min(payload->>'$.key') AS key FROM signal_event WHERE trim(event_type) <> '' GROUP BY 1, 2)
 SELECT company_id, full_type, story, count(*) AS n_reports, round(least(0.95, first(confidence ORDER BY observed_at, dedupe_key) + 0.05 * (count(*) - 1)), 6) AS confidence
-FROM (SELECT *, strftime(observed_at AT TIME ZONE 'UTC', '%Y-%m') AS story FROM ({_SIGNALS})) GROUP BY 1, 2, 3
+FROM (SELECT s.*, coalesce(key, strftime(observed_at AT TIME ZONE 'UTC', '%Y-%m')) AS story FROM ({_SIGNALS}) s JOIN t USING (dedupe_key, company_id)) GROUP BY 1, 2, 3
 """,
     "recent_event_counts": f"""
 SELECT full_type, count(*) FILTER (observed_at > {NOW} - INTERVAL 7 DAY) AS n_7d, count(*) FILTER (observed_at > {NOW} - INTERVAL 30 DAY) AS n_30d,
@@ -191,12 +196,13 @@ SELECT state, CASE
 FROM s
 """.replace("\\\\", "\\"),
     "page_fingerprints": r"""
-SELECT doc_id, CASE WHEN length(trim(coalesce(t, ''))) < 100 THEN '' ELSE substr(sha1(trim(regexp_replace(lower(t), '\s+', ' ', 'g'))), 1, 16) END AS fingerprint
-FROM (SELECT doc_id, regexp_replace(text, '[^\x20-\x7e]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) < 100 THEN '' ELSE substr(sha1(lower(regexp_replace(t, b, ' ', 'g'))), 1, 16) END AS fingerprint
+FROM (SELECT doc_id, b, regexp_replace(regexp_replace(coalesce(text, ''), '^' || b, ''), b || '$', '') AS t
+      FROM documents, (SELECT '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+' AS b))
 """,
-    "inverted_index": """
+    "inverted_index": r"""
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (
-  SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY 1
+  SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY 1
 """,
     "rounded_head_counts": """
 WITH c AS (SELECT DISTINCT id, headcount AS n FROM discovery_company),
@@ -294,3 +300,37 @@ def _directory_keys() -> str:
 
 
 ORACLES["directory_keys"] = _directory_keys()
+
+
+def _slug_directory() -> str:
+    """Name keys of both tables by the same chain of suffix steps as above."""
+    def chain(p: str, source: str) -> tuple[list[str], str]:
+        steps, last = [f"{p}0 AS ({source})"], f"{p}0"
+        for i, x in enumerate(config.DIRECTORY_SUFFIXES, 1):
+            steps.append(f"{p}{i} AS (SELECT * EXCLUDE (b), CASE WHEN ends_with(b, '{x}') THEN trim(left(b, length(b) - {len(x)})) ELSE b END AS b FROM {last})")
+            last = f"{p}{i}"
+        return steps, last
+
+    stem = "CASE WHEN length(split_part(replace(lower(domain), 'www.', ''), '.', 1)) >= 2 THEN split_part(replace(lower(domain), 'www.', ''), '.', 1) END"
+    rows, r = chain("r", f"SELECT DISTINCT list_extract(['lever', 'greenhouse', 'ashby', 'workable'], length(name) % 4 + 1) AS board, {stem} AS slug, trim(lower(coalesce(name, ''))) AS b FROM tracked_company WHERE {stem} IS NOT NULL")
+    asks, a = chain("a", f"SELECT DISTINCT id, {stem} AS stem, trim(lower(coalesce(name, ''))) AS b FROM discovery_company")
+    order = "list_position([" + ", ".join(f"'{b}'" for b in config.BOARD_ORDER) + "], board)"
+    return f"""WITH {', '.join(rows)}, {', '.join(asks)},
+d AS (SELECT board, slug, regexp_replace(b, '[^a-z0-9]+', '', 'g') AS k, {order} AS o FROM {r} WHERE {order} > 0), q AS (SELECT id, stem, regexp_replace(b, '[^a-z0-9]+', '', 'g') AS k FROM {a}),
+h AS (SELECT id, board, slug, 0 AS way, o FROM q JOIN d ON q.stem = d.slug UNION ALL SELECT id, board, slug, 1, o FROM q JOIN d ON q.k = d.k AND q.k <> '')
+SELECT id AS company_id, board, slug FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way, o, slug, board) AS n FROM h) WHERE n = 1"""
+
+
+ORACLES["slug_directory"] = _slug_directory()
+ORACLES["relevance_filter"] = r"""
+WITH c AS (SELECT id AS company_id, min(name) AS name FROM discovery_company GROUP BY id),
+j AS (SELECT d.*, name, list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 2) AS tok, lower(title) AS t,
+             ' ' || regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g') || ' ' AS padded, source IN ('company_feed', 'sec_edgar', 'sec_8k', 'usaspending', 'warn_notice', 'github', 'npm') AS trusted
+      FROM (SELECT DISTINCT draft_id, company_id, title, source, confidence FROM signal_event_draft) d JOIN c USING (company_id)),
+k AS (SELECT *, CASE WHEN len(tok) = 0 OR (len(tok) = 1 AND length(tok[1]) <= 4) THEN 0.5
+        WHEN list_has_any(tok, string_split('scale ramp notion apollo stripe square circle linear beam flow wave spark pulse core base path bridge cloud data tech labs ai io', ' ')) THEN 0.6 ELSE 1.0 END AS m,
+      CASE WHEN len(tok) >= 2 THEN len(list_filter(tok, lambda x: length(x) >= 4 AND contains(padded, ' ' || x || ' '))) > 0
+        WHEN length(tok[1]) <= 4 THEN contains(t, tok[1]) AND length(t) < 80 ELSE contains(padded, ' ' || tok[1] || ' ') END AS said FROM j)
+SELECT draft_id, CASE WHEN trusted OR m >= 1 THEN confidence ELSE CAST(round_even(CAST(coalesce(confidence, 0.85) * m AS DOUBLE), 3) AS DOUBLE) END AS confidence
+FROM k WHERE trusted OR (len(tok) > 0 AND length(title) > 0 AND coalesce(said, false))
+"""

@@ -28,4 +28,9 @@ QUERIES = {f.__name__: f for f in (stream_distinct_events, stream_window_budget,
 ORACLES = {
     "stream_distinct_events": "SELECT DISTINCT dedupe_key, company_id FROM signal_event",
     "stream_window_budget": "SELECT date_trunc('hour', ts) AT TIME ZONE 'UTC' AS window_start, count(*) AS n_calls, least(count(*), 13) AS n_admitted FROM events GROUP BY 1",
+    "stream_hiring_surges": """
+WITH r AS (SELECT DISTINCT id, company_id, captured_at, coalesce(hiring_count, 0) AS n FROM company_signal_result),
+p AS (SELECT *, lag(n) OVER (PARTITION BY company_id ORDER BY captured_at, id) AS before_ FROM r)
+SELECT company_id, captured_at, CAST(before_ AS BIGINT) AS prev_count, CAST(n AS BIGINT) AS curr_count FROM p WHERE before_ > 0 AND n >= before_ * 1.5
+""",
 }
