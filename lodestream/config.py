@@ -100,6 +100,9 @@ BOARD_PATTERNS = (
     ("jazzhr", r"([a-zA-Z0-9_-]+)\.applytojob\.com"),
     ("icims", r"((?:us)?careers-[a-zA-Z0-9_-]+)\.icims\.com"),
 )
+
+# The order in which boards are tried, and their root domains.
+MAIN_BOARDS, OTHER_BOARDS = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable"), ("rippling", "jazzhr", "icims")
 BOARD_ORDER = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable", "icims", "jazzhr", "rippling")
 BOARD_ROOTS = ("greenhouse.io", "lever.co", "ashbyhq.com", "smartrecruiters.com", "workable.com", "rippling.com", "applytojob.com", "icims.com")
 

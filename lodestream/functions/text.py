@@ -73,3 +73,35 @@ def snippet(title: Column, description: Column, link: Column, most: int = 300) -
 def words(text: Column, least: int = 1) -> Column:
     """Lower-case runs of letters, marks and digits of any script; a script without blanks gives long runs."""
     return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda t: F.length(t) >= least)
+
+
+def object_of(column: Column) -> Column:
+    """A JSON object as a map of texts; any other text, and null, is an empty map."""
+    return F.coalesce(F.when(F.trim(column).startswith("{"), F.from_json(column, "map<string,string>")), F.create_map().cast("map<string,string>"))
+
+
+def first_word(column: Column) -> Column:
+    return F.split_part(F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"\s+", " ")), F.lit(" "), F.lit(1))
+
+
+def main_text(markup: Column) -> Column:
+    """Running text of a page: without scripts, styles, navigation, headers, footers and forms; blocks become lines."""
+    body = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form|noscript|svg)\b.*?</\1\s*>", " ")
+    lines = F.regexp_replace(body, r"(?i)</?(?:p|div|br|li|h[1-6]|tr|section|article)\b[^>]*>", "\u0001")
+    parts = F.filter(F.transform(F.split(lines, "\u0001"), lambda x: strip_plain(x)), lambda x: x != "")
+    return F.array_join(parts, "\n")
+
+
+def strip_plain(markup: Column) -> Column:
+    """Tags dropped, the common entities decoded, white space squeezed; all inside the JVM."""
+    text = F.regexp_replace(markup, "<[^>]+>", " ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def profile_facts(answer: Column) -> Column:
+    """struct(funding_stage, total_raised, investors) of a model's JSON answer; blank values are null."""
+    v = F.from_json(unfenced_json(answer), "funding_stage string, total_raised string, investors array<string>")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.struct(some(v["funding_stage"]).alias("funding_stage"), some(v["total_raised"]).alias("total_raised"), F.coalesce(F.filter(v["investors"], lambda x: F.trim(x) != ""), F.array().cast("array<string>")).alias("investors"))

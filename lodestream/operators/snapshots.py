@@ -55,3 +55,23 @@ def concepts_first_seen(posts: DataFrame, group: str, as_of: Column, days: int =
     tainted = old.filter(F.col("concept").isNull()).select(group).distinct()
     new = each.filter((F.col("first_seen_at") > edge) & F.col("closed_at").isNull()).select(group, "concept").distinct()
     return new.join(old.select(group, "concept").distinct(), [group, "concept"], "left_anti").join(tainted, group, "left_anti").filter(F.col("concept").isNotNull())
+
+
+def growth_events(now: DataFrame, before: DataFrame, group: str, item: str, count: str, least: int, ratio: float, strictly_more: bool = False) -> DataFrame:
+    """group, item, event, prev_count, curr_count: first_seen where there was none before, spike where there are at least
+    ``least`` and ``ratio`` times as many as before (or just more)."""
+    joined = now.join(before.select(group, item, F.col(count).alias("prev_count")), [group, item], "left").withColumnRenamed(count, "curr_count")
+    grown = F.col("curr_count") > F.col("prev_count") if strictly_more else F.col("curr_count") >= F.col("prev_count") * ratio
+    event = F.when(F.col("prev_count").isNull(), "first_seen").when((F.col("curr_count") >= least) & grown, "spike")
+    return joined.withColumn("event", event).filter(F.col("event").isNotNull()).select(group, item, "event", "prev_count", "curr_count")
+
+
+def profile_changes(paired: DataFrame, key: str, at: str, ratio: float = 1.2) -> DataFrame:
+    """key, at, change, before, after: a new funding stage; a head count that grew to ``ratio`` times the one before."""
+    stage = (F.coalesce("funding_stage", F.lit("")) != "") & ~F.col("funding_stage").eqNullSafe(F.col("prev.funding_stage"))
+    heads = (F.col("prev.headcount") > 0) & (F.col("headcount") >= F.col("prev.headcount") * ratio)
+    found = F.array(
+        F.when(stage, F.struct(F.lit("funding_round").alias("change"), F.col("prev.funding_stage").alias("before"), F.col("funding_stage").alias("after"))),
+        F.when(heads, F.struct(F.lit("headcount_jump").alias("change"), F.col("prev.headcount").cast("string").alias("before"), F.col("headcount").cast("string").alias("after"))),
+    )
+    return paired.filter(F.col("prev").isNotNull()).select(key, at, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select(key, at, "c.*")

@@ -195,12 +195,46 @@ def daily_budget_left(spark, sf_dir):
     return schedule.window_budget(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_id"], "1 day", 300).withColumn("n_refused", F.col("n_calls") - F.col("n_admitted"))
 
 
+def _open_posts(spark, sf_dir, day: str) -> DataFrame:
+    """Posts that were open on a day."""
+    at = F.to_timestamp(F.lit(day))
+    p = load(spark, sf_dir, "discovery_job_post").select("id", "company_id", "role_family", "concepts", "first_seen_at", "closed_at").distinct()
+    return p.filter(F.col("company_id").isNotNull() & (F.col("first_seen_at") <= at) & (F.col("closed_at").isNull() | (F.col("closed_at") > at)))
+
+
+def role_growth(spark, sf_dir):
+    from lodestream.operators import snapshots
+
+    counts = lambda day: _open_posts(spark, sf_dir, day).filter(F.col("role_family").isNotNull()).groupBy("company_id", "role_family").agg(F.count(F.lit(1)).alias("n"))
+    return snapshots.growth_events(counts("2025-04-01"), counts("2025-03-02"), "company_id", "role_family", "n", 3, 2.0)
+
+
+def concept_growth(spark, sf_dir):
+    from lodestream.operators import snapshots
+
+    counts = lambda day: _open_posts(spark, sf_dir, day).select("company_id", F.explode("concepts").alias("c")).groupBy("company_id", F.lower("c").alias("concept")).agg(F.count(F.lit(1)).alias("n"))
+    return snapshots.growth_events(counts("2025-04-01"), counts("2025-03-02"), "company_id", "concept", "n", 2, 1.0, strictly_more=True)
+
+
+def profile_changes(spark, sf_dir):
+    from lodestream.operators import snapshots
+
+    r = load(spark, sf_dir, "company_signal_result").select("id", "company_id", "captured_at", "funding_stage", "headcount").distinct()
+    return snapshots.profile_changes(snapshots.with_previous(r, "company_id", "captured_at", ["funding_stage", "headcount"], ["id"]), "company_id", "captured_at")
+
+
+def fill_rate_change(spark, sf_dir):
+    before = merge.fill_rates(_companies(spark, sf_dir, "id", "funding", "industry", "domain", "domain_resolved"), ["funding", "industry", "domain"])
+    after = merge.fill_rates(filled_profiles(spark, sf_dir), ["funding", "industry", "domain"])
+    return before.select("field", F.col("n_filled").alias("n_before")).join(after.select("field", F.col("n_filled").alias("n_after")), "field").withColumn("n_gained", F.col("n_after") - F.col("n_before"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         upsert_posts, new_or_changed_posts, updated_companies, filled_profiles, head_count_choice, head_office_update, tech_events, pattern_technologies, first_in_page, tagged_companies,
         names_known, embedding_plan, year_leaks, slots_per_org, merged_lists, outcome_rates, quality_gate, sample_rows, listed_companies, unignored_events, reset_statuses, edge_upsert,
-        customer_edges, daily_budget_left,
+        customer_edges, daily_budget_left, role_growth, concept_growth, profile_changes, fill_rate_change,
     )
 }
 
@@ -330,4 +364,30 @@ SELECT src_id, e.dst_id, coalesce(bd.id, bn.id) AS dst_company_id, CASE WHEN bd.
 FROM e LEFT JOIN bd ON e.d = bd.d LEFT JOIN bn ON e.dst_id = bn.dst_id WHERE coalesce(bd.id, bn.id) IS NOT NULL AND coalesce(bd.id, bn.id) <> src_id
 """,
     "daily_budget_left": "SELECT date_trunc('day', ts) AT TIME ZONE 'UTC' AS window_start, count(*) AS n_calls, least(count(*), 270) AS n_admitted, count(*) - least(count(*), 270) AS n_refused FROM events GROUP BY 1",
+    "profile_changes": """
+WITH r AS (SELECT DISTINCT id, company_id, captured_at, funding_stage, headcount FROM company_signal_result),
+p AS (SELECT *, lag(id) OVER w AS prev_id, lag(funding_stage) OVER w AS prev_stage, lag(headcount) OVER w AS prev_heads FROM r WINDOW w AS (PARTITION BY company_id ORDER BY captured_at, id))
+SELECT company_id, captured_at, 'funding_round' AS change, prev_stage AS before, funding_stage AS after FROM p WHERE prev_id IS NOT NULL AND coalesce(funding_stage, '') <> '' AND funding_stage IS DISTINCT FROM prev_stage
+UNION ALL SELECT company_id, captured_at, 'headcount_jump', CAST(prev_heads AS VARCHAR), CAST(headcount AS VARCHAR) FROM p WHERE prev_heads > 0 AND headcount >= prev_heads * CAST(1.2 AS DOUBLE)
+""",
 }
+_OPEN = """
+  SELECT * FROM (SELECT DISTINCT id, company_id, role_family, concepts, first_seen_at, closed_at FROM discovery_job_post)
+  WHERE company_id IS NOT NULL AND first_seen_at <= TIMESTAMPTZ '{0} 00:00:00+00' AND (closed_at IS NULL OR closed_at > TIMESTAMPTZ '{0} 00:00:00+00')
+"""
+
+
+def _growth(item: str, rows: str, more: str) -> str:
+    count = f"SELECT company_id, {item}, count(*) AS n FROM ({rows}) WHERE {item} IS NOT NULL GROUP BY 1, 2"
+    return f"""
+WITH a AS ({count.format('2025-04-01')}), b AS ({count.format('2025-03-02')})
+SELECT * FROM (SELECT a.company_id, a.{item}, CASE WHEN b.n IS NULL THEN 'first_seen' WHEN {more} THEN 'spike' END AS event, b.n AS prev_count, a.n AS curr_count
+               FROM a LEFT JOIN b ON a.company_id = b.company_id AND a.{item} = b.{item}) WHERE event IS NOT NULL
+"""
+
+
+ORACLES["role_growth"] = _growth("role_family", _OPEN, "a.n >= 3 AND a.n >= b.n * 2")
+ORACLES["concept_growth"] = _growth("concept", f"SELECT company_id, lower(unnest(concepts)) AS concept FROM ({_OPEN})", "a.n >= 2 AND a.n > b.n")
+ORACLES["fill_rate_change"] = f"""
+WITH x AS (SELECT DISTINCT id, funding, industry, domain FROM discovery_company), y AS ({ORACLES['filled_profiles']})
+""" + " UNION ALL ".join(f"SELECT '{c}' AS field, (SELECT count(*) FROM x WHERE trim({c}) <> '') AS n_before, (SELECT count(*) FROM y WHERE trim({c}) <> '') AS n_after, (SELECT count(*) FROM y WHERE trim({c}) <> '') - (SELECT count(*) FROM x WHERE trim({c}) <> '') AS n_gained" for c in ("funding", "industry", "domain"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions import text, urls
+from lodestream import config
+from lodestream.functions import names, text, urls
 
 MOST_BODY = 4000
 
@@ -85,3 +86,31 @@ def board_is_own(posts: DataFrame, company: str, domain: str, roots: tuple[str,
 def board_summary(posts: DataFrame) -> DataFrame:
     """company_id, source, n_posts and up to ten titles."""
     return posts.groupBy("company_id", "source").agg(F.count(F.lit(1)).alias("n_posts"), F.slice(F.array_sort(F.collect_set("title")), 1, 10).alias("roles"))
+
+
+def candidate_boards(companies: DataFrame, company: str, name: str, domain: str, cached: str, html: str, searched: str) -> DataFrame:
+    """company_id, place, board, slug, verified_by_page: the boards to try for a company, best first, each once: the one
+    that answered before (struct of board and slug), those that the page links to, those that a search found (array of
+    'board:slug'), the slugs that the name suggests on each main board, the domain's stem on the others."""
+    texts = F.array().cast("array<string>")
+    known = F.when((F.col(cached)["board"] != "") & (F.col(cached)["slug"] != ""), F.array(F.concat(F.col(cached)["board"], F.lit(":"), F.col(cached)["slug"]))).otherwise(texts)
+    shown = F.concat(known, F.coalesce(urls.board_candidates(F.coalesce(F.col(html), F.lit(""))), texts), F.coalesce(F.col(searched), texts))
+    on = lambda boards, slugs: F.flatten(F.transform(slugs, lambda v: F.array(*[F.concat(F.lit(f"{b}:"), v) for b in boards])))
+    stem = names.domain_stem(F.col(domain))
+    guessed = F.concat(on(config.MAIN_BOARDS, names.slug_variants(F.col(name), F.col(domain))), on(config.OTHER_BOARDS, F.when(stem.isNotNull(), F.array(stem)).otherwise(texts)))
+    each = companies.select(F.col(company).alias("company_id"), shown.alias("_shown"), F.posexplode(F.array_distinct(F.concat(shown, guessed))).alias("place", "c"))
+    return each.select("company_id", "place", F.split_part("c", F.lit(":"), F.lit(1)).alias("board"), F.regexp_extract("c", "^[^:]*:(.*)$", 1).alias("slug"), F.array_contains("_shown", F.col("c")).alias("verified_by_page"))
+
+
+def careers_address(slug: Column) -> Column:
+    """The base address of a hosted careers page by its slug, which may be an address or have the page's prefix."""
+    bare = F.regexp_replace(F.trim(slug), "/+$", "")
+    return F.when(bare.rlike("^https?://"), bare).when(bare.rlike("^(?:us)?careers-"), F.concat(F.lit("https://"), bare, F.lit(".icims.com"))).otherwise(F.concat(F.lit("https://careers-"), bare, F.lit(".icims.com")))
+
+
+def listing_address(slug: Column) -> Column:
+    return F.concat(F.lit("https://"), slug, F.lit(".applytojob.com/apply/jobs"))
+
+
+def detail_address(slug: Column, job: Column) -> Column:
+    return F.concat(listing_address(slug), F.lit("/details/"), job)
