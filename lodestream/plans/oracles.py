@@ -334,3 +334,49 @@ k AS (SELECT *, CASE WHEN len(tok) = 0 OR (len(tok) = 1 AND length(tok[1]) <= 4)
 SELECT draft_id, CASE WHEN trusted OR m >= 1 THEN confidence ELSE CAST(round_even(CAST(coalesce(confidence, 0.85) * m AS DOUBLE), 3) AS DOUBLE) END AS confidence
 FROM k WHERE trusted OR (len(tok) > 0 AND length(title) > 0 AND coalesce(said, false))
 """
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_LEGAL_END = r"(?i)[\s,]+(?:holdings|incorporated|inc|llc|l\.l\.c|ltd|limited|corporation|corp|company|co|plc|gmbh|ag|sas|sa|sl|ab|pty|pvt)\.?$"
+
+
+def _cleaned(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim(coalesce({x}, '')), '{_LEGAL_END}', ''), '{_LEGAL_END}', '')"
+    return f"trim(regexp_replace(lower(replace({bare}, '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _name_keys(c: str) -> str:
+    """The keys of a cleaned name, strictest first."""
+    words, tokens = "|".join(config.NAME_DESCRIPTORS), f"string_split({c}, ' ')"
+    tail = rf"regexp_replace(array_to_string(list_slice({tokens}, 3, 1000), ' '), '(?:^|\s+)(?:(?:{words})(?:\s+|$))+$', '')"
+    core = f"list_sort(list_distinct(list_filter({tokens}, lambda t: NOT list_contains({_sql_list(config.NAME_DESCRIPTORS)}, t))))"
+    return f"list_filter([{c}, 'c:' || replace({c}, ' ', ''), 't:' || trim(array_to_string(list_slice({tokens}, 1, 2), ' ') || ' ' || trim({tail})), CASE WHEN len({core}) >= 2 THEN 'k:' || array_to_string({core}, ' ') END], lambda k: k IS NOT NULL)"
+
+
+def _weak(c: str) -> str:
+    vague, common = _sql_list(dict.fromkeys((*config.GENERIC_TOKENS, *config.NAME_DESCRIPTORS))), _sql_list(config.COMMON_WORDS)
+    compound = f"(length({c}) >= 6 AND len(list_filter(range(3, length({c}) - 2), lambda i: list_contains({common}, left({c}, i)) AND list_contains({common}, substr({c}, i + 1)))) > 0)"
+    return (
+        f"CASE WHEN {c} = '' THEN true WHEN NOT contains({c}, ' ') THEN length({c}) <= 3 OR list_contains({vague}, {c}) OR list_contains({common}, {c}) OR {compound} "
+        f"ELSE len(list_filter(string_split({c}, ' '), lambda t: NOT (list_contains({vague}, t) OR length(t) <= 2))) = 0 END"
+    )
+
+
+ORACLES["weak_names"] = f"SELECT cleaned, {_weak('cleaned')} AS weak, array_to_string({_name_keys('cleaned')}, '|') AS keys FROM (SELECT DISTINCT {_cleaned('name')} AS cleaned FROM tracked_company)"
+_CODES = ORACLES["state_codes"].replace("SELECT DISTINCT state, trim(lower(state)) AS v FROM tracked_company", "SELECT DISTINCT state, trim(lower(state)) AS v FROM (SELECT state FROM tracked_company UNION SELECT hq_region FROM discovery_company)")
+ORACLES["entity_match"] = f"""
+WITH sc AS ({_CODES}),
+c AS (SELECT DISTINCT id, code AS state, unnest([{_cleaned('name')}, {_cleaned('apollo_org_name')}]) AS cleaned FROM discovery_company LEFT JOIN sc ON hq_region = sc.state),
+ck AS (SELECT DISTINCT id AS company_id, state, unnest({_name_keys('cleaned')}) AS key FROM c WHERE cleaned <> ''),
+p AS (SELECT id AS probe_id, code AS ps, {_cleaned('name')} AS cleaned FROM (SELECT id, min(name) AS name, min(state) AS state FROM tracked_company GROUP BY id) t LEFT JOIN sc ON t.state = sc.state),
+w AS (SELECT probe_id, ps, {_weak('cleaned')} AS weak, {_name_keys('cleaned')} AS k FROM p WHERE cleaned <> ''),
+a AS (SELECT probe_id, ps, weak, unnest(k) AS key, generate_subscripts(k, 1) - 1 AS pos FROM (SELECT probe_id, ps, weak, CASE WHEN weak THEN list_slice(k, 1, 2) ELSE k END AS k FROM w)),
+h AS (SELECT probe_id, ps, weak, pos, count(DISTINCT company_id) AS n, min(company_id) AS one, max(state) AS one_state, count(DISTINCT company_id) FILTER (state = ps) AS n_state, min(company_id) FILTER (state = ps) AS state_one
+      FROM a JOIN ck USING (key) GROUP BY 1, 2, 3, 4),
+f AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY pos) AS r FROM h),
+m AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN n_state = 1 THEN state_one END WHEN weak THEN CASE WHEN one_state = ps THEN one END WHEN one_state <> ps AND pos > 0 THEN NULL ELSE one END AS company_id FROM f WHERE r = 1)
+SELECT probe_id, company_id, CAST(CASE WHEN pos = 0 THEN 100 ELSE 95 END AS INTEGER) AS score, ['exact', 'compact', 'trimmed', 'core'][pos + 1] AS reason FROM m WHERE company_id IS NOT NULL
+"""
