@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream import config
 from lodestream.functions import names
 from lodestream.operators import graph, merge, schedule, updates
+from lodestream.plans import oracles
 from lodestream.plans.catalogue import _companies, _results, now
 from lodestream.runtime import load
 
@@ -386,6 +387,7 @@ SELECT * FROM (SELECT a.company_id, a.{item}, CASE WHEN b.n IS NULL THEN 'first_
 """
 
 
+ORACLES["slots_per_org"] = f"SELECT org_id, count(*) AS n_slots FROM ({oracles.ORACLES['fair_share_select']}) GROUP BY 1"
 ORACLES["role_growth"] = _growth("role_family", _OPEN, "a.n >= 3 AND a.n >= b.n * 2")
 ORACLES["concept_growth"] = _growth("concept", f"SELECT company_id, lower(unnest(concepts)) AS concept FROM ({_OPEN})", "a.n >= 2 AND a.n > b.n")
 ORACLES["fill_rate_change"] = f"""

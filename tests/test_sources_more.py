@@ -12,7 +12,7 @@ from lodestream.plans import jobs
 from lodestream.sources import boards, filings
 
 RULES = {
-    "Shop": {"cats": [1, 99], "scriptSrc": r"cdn\.shop\.io\;version:\1", "implies": ["Base\;confidence:50"], "excludes": "Rival"},
+    "Shop": {"cats": [1, 99], "scriptSrc": r"cdn\.shop\.io\;version:\1", "implies": [r"Base\;confidence:50"], "excludes": "Rival"},
     "Base": {"cats": [2]}, "Rival": {"html": ["<rival", "(broken"]}, "Edge": {"headers": {"X-Edge": ""}}, "Jar": {"cookies": {"JAR": "^v"}, "requires": "Shop"},
     "Mailer": {"dns": {"txt": r"mailer="}}, "Gen": {"meta": {"Generator": "gen"}}, "Trk": {"scripts": r"trk\("}, "Odd": {"headers": "not a map"},
 }
