@@ -230,12 +230,36 @@ def fill_rate_change(spark, sf_dir):
     return before.select("field", F.col("n_filled").alias("n_before")).join(after.select("field", F.col("n_filled").alias("n_after")), "field").withColumn("n_gained", F.col("n_after") - F.col("n_before"))
 
 
+def cached_board_scan(spark, sf_dir):
+    """Companies to poll, the latest brought up to date first."""
+    c = _companies(spark, sf_dir, "id", "domain", "updated_at").filter(F.col("domain").isNotNull())
+    return c.orderBy(F.desc_nulls_last("updated_at"), "id").limit(100).select("id", "updated_at")
+
+
+def known_open_posts(spark, sf_dir):
+    return _post_state(spark, sf_dir).filter(F.col("closed_at").isNull()).select("company_id", "external_id", "title")
+
+
+def remerged_posts(spark, sf_dir):
+    """Posts of a poll with what was read out of their texts, by id; a post of which nothing was read stays as it was."""
+    read_out = _post_state(spark, sf_dir).filter(F.col("role_family").isNotNull()).select(*updates.POST_KEY, F.col("role_family").alias("_family"), F.size("concepts").alias("n_concepts"))
+    batch = _post_batch(spark, sf_dir).select(*updates.POST_KEY, "title")
+    return batch.join(read_out, list(updates.POST_KEY), "left").select(*updates.POST_KEY, "title", F.coalesce("_family", F.lit("other")).alias("role_family"), F.greatest(F.coalesce("n_concepts", F.lit(0)), F.lit(0)).alias("n_concepts"))
+
+
+def ready_hosts(spark, sf_dir):
+    """Hosts of the companies that were enriched, each once."""
+    c = _companies(spark, sf_dir, "id", "domain", "signal_enrichment_status").filter((F.col("signal_enrichment_status") == "enriched") & (F.trim("domain") != ""))
+    return c.groupBy(F.lower(F.trim("domain")).alias("host")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_companies"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         upsert_posts, new_or_changed_posts, updated_companies, filled_profiles, head_count_choice, head_office_update, tech_events, pattern_technologies, first_in_page, tagged_companies,
         names_known, embedding_plan, year_leaks, slots_per_org, merged_lists, outcome_rates, quality_gate, sample_rows, listed_companies, unignored_events, reset_statuses, edge_upsert,
         customer_edges, daily_budget_left, role_growth, concept_growth, profile_changes, fill_rate_change,
+        cached_board_scan, known_open_posts, remerged_posts, ready_hosts,
     )
 }
 
@@ -365,6 +389,15 @@ SELECT src_id, e.dst_id, coalesce(bd.id, bn.id) AS dst_company_id, CASE WHEN bd.
 FROM e LEFT JOIN bd ON e.d = bd.d LEFT JOIN bn ON e.dst_id = bn.dst_id WHERE coalesce(bd.id, bn.id) IS NOT NULL AND coalesce(bd.id, bn.id) <> src_id
 """,
     "daily_budget_left": "SELECT date_trunc('day', ts) AT TIME ZONE 'UTC' AS window_start, count(*) AS n_calls, least(count(*), 270) AS n_admitted, count(*) - least(count(*), 270) AS n_refused FROM events GROUP BY 1",
+    "cached_board_scan": "SELECT id, max(updated_at) AS updated_at FROM discovery_company WHERE domain IS NOT NULL GROUP BY id, domain ORDER BY updated_at DESC NULLS LAST, id LIMIT 100",
+    "known_open_posts": f"SELECT company_id, external_id, title FROM ({_STATE}) WHERE closed_at IS NULL",
+    "remerged_posts": f"""
+SELECT b.company_id, b.external_id, upper(b.title) AS title, coalesce(s.role_family, 'other') AS role_family, CAST(CASE WHEN s.role_family IS NULL THEN 0 ELSE coalesce(len(s.concepts), 0) END AS INTEGER) AS n_concepts
+FROM ({_BATCH}) b LEFT JOIN ({_STATE}) s ON b.company_id = s.company_id AND b.external_id = s.external_id
+""",
+    "ready_hosts": """
+SELECT lower(trim(domain)) AS host, min(id) AS id, count(*) AS n_companies FROM (SELECT DISTINCT id, domain FROM discovery_company WHERE signal_enrichment_status = 'enriched' AND trim(domain) <> '') GROUP BY 1
+""",
     "profile_changes": """
 WITH r AS (SELECT DISTINCT id, company_id, captured_at, funding_stage, headcount FROM company_signal_result),
 p AS (SELECT *, lag(id) OVER w AS prev_id, lag(funding_stage) OVER w AS prev_stage, lag(headcount) OVER w AS prev_heads FROM r WINDOW w AS (PARTITION BY company_id ORDER BY captured_at, id))
