@@ -26,22 +26,33 @@ def window_counts(stream: DataFrame, at: str, width: str, limit: int, lateness:
     return counts.select(F.col("window.start").alias("window_start"), "n_calls", F.least("n_calls", F.lit(int(limit * headroom))).alias("n_admitted"))
 
 
-def snapshot_changes(stream: DataFrame, key: str, at: str, count: str, ratio: float = DEFAULTS.surge_ratio) -> DataFrame:
-    """Surges against the last snapshot of the key, which is all the state there is of it."""
+def snapshot_changes(stream: DataFrame, key: str, at: str, count: str, ratio: float = DEFAULTS.surge_ratio, lateness: str = "30 days", forget_days: int = 400) -> DataFrame:
+    """Surges against the last snapshot of the key, which with its time is all the state there is of it.
+
+    A snapshot that comes after a newer one of its key was compared is late and changes nothing. A key without a
+    snapshot for ``forget_days`` behind the watermark is forgotten, so that the state doesn't grow for ever.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else None
-        rows = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prev, last = state.get if state.exists else (None, None)
         for r in pd.concat(list(batches)).sort_values([at]).itertuples(index=False):
+            when = getattr(r, at)
+            if last is not None and when.value // 1000 < last:
+                continue
             now = getattr(r, count)
             now = 0 if pd.isna(now) else int(now)
             if prev and now >= prev * ratio:
-                rows.append((k[0], getattr(r, at), prev, now))
-            prev = now
-        state.update((prev,))
-        yield pd.DataFrame(rows, columns=[key, at, "prev_count", "curr_count"])
+                yield pd.DataFrame([(k[0], when, prev, now)], columns=[key, at, "prev_count", "curr_count"])
+            prev, last = now, when.value // 1000
+        state.update((prev, last))
+        due = last // 1000 + forget_days * 86_400_000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    return stream.select(key, at, count).groupBy(key).applyInPandasWithState(step, f"{key} string, {at} timestamp, prev_count long, curr_count long", "prev long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.select(key, at, count).filter(F.col(at).isNotNull()).withWatermark(at, lateness)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} string, {at} timestamp, prev_count long, curr_count long", "prev long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def clustered_events(stream: DataFrame, lateness: str = "1 day") -> DataFrame:

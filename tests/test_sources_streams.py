@@ -1,3 +1,5 @@
+import datetime
+
 import json
 from datetime import datetime as dt
 
@@ -93,3 +95,14 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     got = {tuple(r)[:4] + (r["n_reports"],) for r in jobs.run_available(jobs.clustered_events(s), "fold", "update").select("company_id", "event_type", "dedupe_key", "title", "n_reports").collect()}
     want = {tuple(r)[:4] + (r["n_reports"],) for r in ev.cluster_reports(spark.createDataFrame(rows, schema)).select("company_id", "event_type", "dedupe_key", "title", "n_reports").collect()}
     assert got == want and len(got) == 2
+
+
+def test_late_snapshots_change_nothing(spark, tmp_path):
+    """The second trigger brings a snapshot from between two that were compared already, and a newer one."""
+    schema = "company_id string, captured_at timestamp, hiring_count long"
+    day = lambda d: datetime.datetime(2025, 1, d)
+    for i, rows in enumerate([[("c", day(1), 10), ("c", day(9), 20)], [("c", day(5), 1), ("c", day(12), 25), ("c", None, 99)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"t{i}.parquet"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t*.parquet"))
+    out = jobs.run_available(jobs.snapshot_changes(stream, "company_id", "captured_at", "hiring_count"), "late")
+    assert [(r.captured_at, r.prev_count, r.curr_count) for r in out.collect()] == [(day(9), 10, 20)]
